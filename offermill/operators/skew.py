@@ -7,6 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
+# Below this plan size no key can be heavy enough to be worth counting.
+SMALL_BYTES = 64 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a DataFrame."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
 
 
 def best_row(df: DataFrame, keys: list[str], better: Column) -> DataFrame:
@@ -52,7 +59,11 @@ def salted_join(
     Rows of a hot key are spread over parts by a hash of ``spread_by``; the matching rows
     of ``small`` are repeated once per part.  All other keys join as they are.
     """
-    hot = F.broadcast(hot_keys(big if counted is None else counted, keys, rows_per_task))
+    counted = big if counted is None else counted
+    if rows_per_task >= ROWS_PER_TASK and plan_bytes(counted) < SMALL_BYTES:
+        out = big.join(small, keys, how)
+        return out if condition is None else out.filter(condition)
+    hot = F.broadcast(hot_keys(counted, keys, rows_per_task))
     left = big.join(hot, keys, "left").withColumn(
         "_part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts").cast("long")), F.lit(0).cast("long"))
     )
