@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match, has, strip
+from .text import first_match, has, let, match_groups, strip
 
 # --- fixed values -----------------------------------------------------------------
 CURRENCIES = [("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY")]
@@ -16,11 +16,11 @@ UNDER = (
     r"[$€£¥]?\s*" + AMOUNT + r"\s*(?:dollars?|bucks?|usd|eur|gbp)?"
 )
 RANGE_JOIN = r"\s*(?:[–\-]|to|through)\s*"
-CURRENCY_RANGE = (
-    r"(?iU)[$€£¥]\s*" + AMOUNT + RANGE_JOIN + r"[$€£¥]?\s*" + AMOUNT + r"(?!\s*(?:am|pm|:[0-9]{2}))"
-)
+CURRENCY_RANGE = r"(?iU)[$€£¥]\s*" + AMOUNT + RANGE_JOIN + r"[$€£¥]?\s*" + AMOUNT
+NOT_A_TIME = r"(?!\s*(?:am|pm|:[0-9]{2}))"
 WORD_RANGE = r"(?iU)" + AMOUNT + RANGE_JOIN + AMOUNT + r"\s+(?:dollars?|bucks?)\b"
-CURRENCY_SINGLE = r"(?U)[$€£¥]\s*" + AMOUNT + r"(?!\s*(?:[0-9]|am|pm|:[0-9]{2}))"
+CURRENCY_SINGLE = r"(?U)[$€£¥]\s*" + AMOUNT
+NOT_A_DATE = r"(?!\s*(?:[0-9]|am|pm|:[0-9]{2}))"
 WORD_SINGLE = r"(?iU)\b" + AMOUNT + r"\s+(?:dollars?|bucks?)\b"
 RANGE_TEXT = r"(?U)^\$([0-9]+(?:\.[0-9]+)?)\s*\-\s*\$([0-9]+(?:\.[0-9]+)?)$"
 DOLLAR = r"\$([0-9]+(?:\.[0-9]{1,2})?)"
@@ -46,8 +46,9 @@ def ordered_range(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), pair)
 
 
-def _range(text: Column, pattern: str) -> Column:
-    return ordered_range(number(first_match(text, pattern, 1)), number(first_match(text, pattern, 2)))
+def _range(text: Column, pattern: str, after: str = "") -> Column:
+    found = match_groups(text, pattern + after, 2, pattern)
+    return let(found, lambda g: ordered_range(number(F.get(g, F.lit(0))), number(F.get(g, F.lit(1)))))
 
 
 def parse_price(text: Column, existing: Column | None = None) -> Column:
@@ -56,19 +57,22 @@ def parse_price(text: Column, existing: Column | None = None) -> Column:
     First signal wins: free, upper bound, currency range, word range, one currency
     amount, one word amount, then the price the feed supplied.
     """
+    pair = "struct<lo:double,hi:double>"
+
+    def one(price: Column) -> Column:
+        return F.struct(price.alias("price"), F.lit(None).cast(pair).alias("price_range"))
+
+    def between(bounds: Column) -> Column:
+        return F.struct(F.lit(None).cast("double").alias("price"), bounds.alias("price_range"))
+
+    upper = let(number(first_match(text, UNDER)), lambda u: F.when(u.isNotNull(), F.struct(F.lit(0.0).alias("lo"), u.alias("hi"))))
     fallback = F.lit(None).cast("double") if existing is None else existing
-    upper = number(first_match(text, UNDER))
-    bounds = F.coalesce(
-        F.when(upper.isNotNull(), F.struct(F.lit(0.0).alias("lo"), upper.alias("hi"))),
-        _range(text, CURRENCY_RANGE),
-        _range(text, WORD_RANGE),
-    )
-    single = F.coalesce(number(first_match(text, CURRENCY_SINGLE)), number(first_match(text, WORD_SINGLE)), fallback)
-    free = has(text, FREE)
-    return F.struct(
-        F.when(free, F.lit(0.0)).when(bounds.isNull(), single).alias("price"),
-        F.when(~free, bounds).alias("price_range"),
+    single = F.coalesce(
+        number(first_match(text, CURRENCY_SINGLE + NOT_A_DATE)), number(first_match(text, WORD_SINGLE)), fallback
     )
+    bounds = F.coalesce(upper.cast(pair), _range(text, CURRENCY_RANGE, NOT_A_TIME).cast(pair), _range(text, WORD_RANGE).cast(pair))
+    priced = let(bounds, lambda b: F.when(b.isNotNull(), between(b)).otherwise(one(single)))
+    return F.when(has(text, FREE), one(F.lit(0.0))).otherwise(priced)
 
 
 def parse_range_text(c: Column) -> Column:
@@ -84,12 +88,13 @@ def _amount_text(x: Column) -> Column:
 
 def rule_price(text: Column) -> Column:
     """struct(price, price_range) of the rule extractor; the range is text."""
-    bounds = _range(text, DOLLAR_RANGE)
-    label = F.concat(F.lit("$"), _amount_text(bounds["lo"]), F.lit("-$"), _amount_text(bounds["hi"]))
-    return F.struct(
-        F.when(bounds.isNull(), first_match(text, DOLLAR).cast("double")).alias("price"),
-        label.alias("price_range"),
-    )
+
+    def result(bounds: Column) -> Column:
+        label = F.concat(F.lit("$"), _amount_text(bounds["lo"]), F.lit("-$"), _amount_text(bounds["hi"]))
+        single = F.when(bounds.isNull(), first_match(text, DOLLAR).cast("double"))
+        return F.struct(single.alias("price"), label.alias("price_range"))
+
+    return let(_range(text, DOLLAR_RANGE), result)
 
 
 def dollar_amounts(text: Column) -> Column:
@@ -98,12 +103,16 @@ def dollar_amounts(text: Column) -> Column:
 
 def price_pair(title: Column) -> Column:
     """struct(original_price, deal_price) of '$799 (was $1299)'; else by position."""
-    amounts = dollar_amounts(title)
     was = first_match(title, WAS_DOLLAR).cast("double")
-    return F.struct(
-        F.coalesce(F.when(was != 0, was), F.get(amounts, F.lit(1)), was).alias("original_price"),
-        F.get(amounts, F.lit(0)).alias("deal_price"),
-    )
+
+    def pair(x: Column) -> Column:
+        second = F.get(x["amounts"], F.lit(1))
+        return F.struct(
+            F.coalesce(F.when(x["was"] != 0, x["was"]), second, x["was"]).alias("original_price"),
+            F.get(x["amounts"], F.lit(0)).alias("deal_price"),
+        )
+
+    return let(F.struct(dollar_amounts(title).alias("amounts"), was.alias("was")), pair)
 
 
 def truthy(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match, has
+from .text import has, let, match_groups
 
 # --- fixed values -----------------------------------------------------------------
 DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
@@ -21,10 +21,10 @@ WEEKENDS = r"\bweekends?\b|\bsat(?:urday)?\s*(?:and|&|to|–|-|through)\s*sun(?:
 DAY_RANGE = r"(?iU)\b" + DAY_NAME + r"\s*(?:through|–|-|to)\s*" + DAY_NAME + r"\b"
 ONE_DAY = r"(?iU)\b" + DAY_NAME + r"\b"
 CLOCK = r"([0-9]{1,2})(?::([0-9]{2}))?\s*(am|pm|a\.m\.|p\.m\.)"
-AFTER = r"(?iU)\bafter\s+" + CLOCK + r"?\b"
-UNTIL = r"(?iU)\b(?:until|before|by)\s+" + CLOCK + r"?\b"
+AFTER = r"(?iU)\bafter\s+" + CLOCK + r"?"
+UNTIL = r"(?iU)\b(?:until|before|by)\s+" + CLOCK + r"?"
 TIME_RANGE = r"(?iU)" + CLOCK + r"?\s*(?:–|-|to|through|until)\s*" + CLOCK + r"?"
-ONE_TIME = r"(?iU)" + CLOCK + r"\b"
+ONE_TIME = r"(?iU)" + CLOCK
 HH_MM = r"^[0-9]{2}:[0-9]{2}$"
 # ----------------------------------------------------------------------------------
 
@@ -54,19 +54,27 @@ def _collapse(indices: Column) -> Column:
 
 def detect_days(text: Column) -> Column:
     """Day names mentioned in the text, as an ordered array."""
-    weekdays, weekends = has(text, WEEKDAYS), has(text, WEEKENDS)
-    first, last = _day_index(first_match(text, DAY_RANGE, 1)), _day_index(first_match(text, DAY_RANGE, 2))
-    span = F.when(first <= last, F.sequence(first, last)).otherwise(
-        F.concat(F.sequence(first, F.lit(6)), F.sequence(F.lit(0), last))
-    )
+
+    def span(g: Column) -> Column:
+        first, last = _day_index(F.get(g, F.lit(0))), _day_index(F.get(g, F.lit(1)))
+        run = F.when(first <= last, F.sequence(first, last)).otherwise(
+            F.concat(F.sequence(first, F.lit(6)), F.sequence(F.lit(0), last))
+        )
+        return F.when(g.isNotNull(), run)
+
     mentions = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ONE_DAY), F.lit(1)), _day_index))
-    return (
-        F.when(has(text, EVERY_DAY) | (weekdays & weekends), _array(["daily"]))
-        .when(weekdays, _array(["weekdays"]))
-        .when(weekends, _array(["weekends"]))
-        .when(first.isNotNull(), _collapse(span))
-        .otherwise(_collapse(mentions))
-    )
+    named = let(F.coalesce(let(match_groups(text, DAY_RANGE, 2), span), mentions), _collapse)
+
+    def choose(s: Column) -> Column:
+        return (
+            F.when(s["week"] & s["ends"], _array(["daily"]))
+            .when(s["week"], _array(["weekdays"]))
+            .when(s["ends"], _array(["weekends"]))
+            .otherwise(named)
+        )
+
+    sets = F.struct(has(text, WEEKDAYS).alias("week"), has(text, WEEKENDS).alias("ends"))
+    return F.when(has(text, EVERY_DAY), _array(["daily"])).otherwise(let(sets, choose))
 
 
 def expand_days(names: Column) -> Column:
@@ -84,46 +92,66 @@ def abbreviations_to_days(names: Column) -> Column:
     return F.array_compact(F.transform(names, lambda n: F.try_element_at(lookup, n)))
 
 
-def _clock(hour: Column, minute: Column, half: Column) -> Column:
-    """HH:MM, NULL when out of range.  Hours up to nine without am/pm are evening hours."""
-    h, m = hour.cast("int"), F.coalesce(minute.cast("int"), F.lit(0))
-    half = F.replace(F.lower(half), F.lit("."), F.lit(""))
-    h24 = (
-        F.when((half == "pm") & (h != 12), h + 12)
-        .when((half == "am") & (h == 12), F.lit(0))
-        .when(half.isNull() & (h <= 9), h + 12)
-        .otherwise(h)
+def _clock(g: Column, half: Column | None = None, at: int = 0) -> Column:
+    """HH:MM of the groups (hour, minute, am/pm) at a place, NULL when out of range.
+
+    Hours up to nine without am/pm are evening hours.
+    """
+    part = lambda i: F.get(g, F.lit(at + i))
+    half = F.replace(F.lower(part(2) if half is None else half), F.lit("."), F.lit(""))
+    fields = F.struct(
+        part(0).cast("int").alias("h"),
+        F.when(part(1) == "", F.lit(0)).otherwise(part(1).cast("int")).alias("m"),
+        half.alias("half"),
     )
-    text = F.concat(F.lpad(h24.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))
-    return F.when(h24.between(0, 23) & m.between(0, 59), text)
 
+    def hours(f: Column) -> Column:
+        h = f["h"]
+        return (
+            F.when((f["half"] == "pm") & (h != 12), h + 12)
+            .when((f["half"] == "am") & (h == 12), F.lit(0))
+            .when((f["half"] == "") & (h <= 9), h + 12)
+            .otherwise(h)
+        )
+
+    def shown(f: Column, h: Column) -> Column:
+        text = F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(f["m"].cast("string"), 2, "0"))
+        return F.when(h.between(0, 23) & f["m"].between(0, 59), text)
 
-def _groups(text: Column, pattern: str, count: int) -> list[Column]:
-    return [first_match(text, pattern, g) for g in range(1, count + 1)]
+    return let(fields, lambda f: let(hours(f), lambda h: shown(f, h)))
 
 
 def parse_time_range(text: Column) -> Column:
-    """struct(start_time, end_time) as HH:MM text; either may be NULL."""
-    t = F.regexp_replace(text, r"(?iU)\bnoon\b", "12:00pm")
-    t = F.regexp_replace(t, r"(?iU)\bmidnight\b", "00:00am")
-    # The window has no outside context in its pattern, so its groups can be read from
-    # the short matched piece instead of scanning the whole text once per group.
-    window = F.regexp_substr(t, F.lit(TIME_RANGE))
-    h1, m1, half1, h2, m2, half2 = _groups(window, TIME_RANGE, 6)
-    half1 = F.when(half1.isNull() & (h1.cast("int") <= h2.cast("int")), half2).otherwise(half1)
-    after, until, single = _groups(t, AFTER, 3), _groups(t, UNTIL, 3), _groups(t, ONE_TIME, 3)
+    """struct(start_time, end_time) as HH:MM text; either may be NULL.
+
+    A window wins over 'after', 'until' and a single time; each of these is only searched
+    when the ones before it found nothing.
+    """
     none = F.lit(None).cast("string")
 
     def both(start: Column, end: Column) -> Column:
         return F.struct(start.alias("start_time"), end.alias("end_time"))
 
-    return (
-        F.when(window.isNotNull(), both(_clock(h1, m1, half1), _clock(h2, m2, half2)))
-        .when(after[0].isNotNull(), both(_clock(*after), none))
-        .when(until[0].isNotNull(), both(none, _clock(*until)))
-        .when(single[0].isNotNull(), both(_clock(*single), none))
-        .otherwise(both(none, none))
-    )
+    def window(g: Column) -> Column:
+        part = lambda i: F.get(g, F.lit(i))
+        shared = (part(2) == "") & (part(0).cast("int") <= part(3).cast("int"))
+        half = F.when(shared, part(5)).otherwise(part(2))
+        return F.when(g.isNotNull(), both(_clock(g, half), _clock(g, at=3)))
+
+    def edge(t: Column, pattern: str, place) -> Column:
+        return let(match_groups(t, pattern + r"\b", 3, pattern), lambda g: F.when(g.isNotNull(), place(_clock(g))))
+
+    def parsed(t: Column) -> Column:
+        return F.coalesce(
+            let(match_groups(t, TIME_RANGE, 6), window),
+            edge(t, AFTER, lambda c: both(c, none)),
+            edge(t, UNTIL, lambda c: both(none, c)),
+            edge(t, ONE_TIME, lambda c: both(c, none)),
+            both(none, none),
+        )
+
+    t = F.regexp_replace(text, r"(?iU)\bnoon\b", "12:00pm")
+    return let(F.regexp_replace(t, r"(?iU)\bmidnight\b", "00:00am"), parsed)
 
 
 def canonical_time(c: Column) -> Column:

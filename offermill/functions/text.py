@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -25,6 +26,7 @@ OFFER_TYPES = ["happy_hour", "lunch_special", "early_bird", "prix_fixe", "dinner
 PUNCTUATION_FROM = "–‘’“”\u00a0«»"
 PUNCTUATION_TO = "-''\"\" \"\""
 EM_DASH = "—"
+TAG = "<[^>]+>"
 # Asterisk footnotes at either end of a line or glued to the front of a word.
 FOOTNOTE = r"(?mdU)(?:^\s*\*+\s*|\s*\*+\s*$|\s+\*\S+)"
 # Leading "1. Name - suffix" heading of a list article.
@@ -48,13 +50,22 @@ CITY_ALIASES = {
 # ----------------------------------------------------------------------------------
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    Nested CASE chains repeat their inputs, and Spark does not share what sits in branches;
+    a one-element array bound by ``transform`` keeps every regex to one pass.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return let(c, lambda x: F.when(x != "", x))
 
 
 def has(c: Column, pattern: str) -> Column:
@@ -67,6 +78,18 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(c, pattern, group))
 
 
+def match_groups(c: Column, pattern: str, groups: int, inner: str | None = None) -> Column:
+    """All groups of the first match as an array ('' for an unused group), NULL without a match.
+
+    The text is searched once; the groups are then read from the matched piece.  ``inner``
+    is the pattern without conditions on what surrounds the piece.
+    """
+    flags, body = re.match(r"(\(\?\w+\))?(.*)", inner or pattern, re.DOTALL).groups()
+    row = "\u0001".join(f"${g}" for g in range(1, groups + 1))
+    piece = F.regexp_substr(c, F.lit(pattern))
+    return F.split(F.regexp_replace(piece, f"{flags or ''}^(?:{body})$", row), "\u0001")
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     found = F.lit(False)
     for word in words:
@@ -74,14 +97,13 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return found
 
 
-@F.pandas_udf(StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+def _decode_one(t: str) -> str:
+    return unicodedata.normalize("NFC", re.sub(TAG, " ", html.unescape(t)))
 
 
 @F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+def _decode(s: pd.Series) -> pd.Series:
+    return s.map(_decode_one, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -89,24 +111,22 @@ def _nfd(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
 
 
-def _only_where(udf, c: Column, condition: Column) -> Column:
-    """Send text to Python only where Spark's own functions cannot do the work."""
-    return F.coalesce(udf(F.when(condition, c)), c)
-
-
 def _non_ascii(c: Column) -> Column:
-    return c.rlike(r"[^\x00-\x7F]")
+    return F.octet_length(c) != F.length(c)
 
 
 def nfd(c: Column) -> Column:
-    return _only_where(_nfd, c, _non_ascii(c))
+    """Python sees only the rows that Spark's own functions cannot handle."""
+    return F.coalesce(_nfd(F.when(_non_ascii(c), c)), c)
 
 
 def clean_text(c: Column) -> Column:
-    """Decode entities, drop tags, normalise punctuation, drop footnotes, collapse space."""
-    t = _only_where(_unescape, c, c.contains("&"))
-    t = F.regexp_replace(t, "<[^>]+>", " ")
-    t = _only_where(_nfc, t, _non_ascii(t))
+    """Decode entities, drop tags, normalise punctuation, drop footnotes, collapse space.
+
+    Entities and Unicode composition have no Spark function; only rows with '&' or beyond
+    ASCII go to Python for them.
+    """
+    t = F.coalesce(_decode(F.when(c.contains("&") | _non_ascii(c), c)), F.regexp_replace(c, TAG, " "))
     t = F.translate(F.replace(t, F.lit(EM_DASH), F.lit(" - ")), PUNCTUATION_FROM, PUNCTUATION_TO)
     t = F.regexp_replace(t, FOOTNOTE, " ")
     t = F.regexp_replace(t, r"(?U)[^\S\n]+", " ")
@@ -131,11 +151,13 @@ def clean_title(c: Column) -> Column:
 
 def block_merchant(block: Column) -> Column:
     """Venue name guessed from the first line of a text block."""
-    line = strip(F.split_part(strip(block), F.lit("\n"), F.lit(1)))
-    numbered = strip(F.regexp_extract(line, NUMBERED_HEADING, 1))
-    return F.when(F.length(numbered).between(4, 79), numbered).when(
-        F.length(line).between(6, 79) & ~line.rlike(r"(?U)^\d"), line
-    )
+
+    def name(line: Column) -> Column:
+        bare = F.when(F.length(line).between(6, 79) & ~line.rlike(r"(?U)^\d"), line)
+        numbered = strip(F.regexp_extract(line, NUMBERED_HEADING, 1))
+        return let(numbered, lambda n: F.when(F.length(n).between(4, 79), n).otherwise(bare))
+
+    return let(strip(F.split_part(strip(block), F.lit("\n"), F.lit(1))), name)
 
 
 def offer_type(text: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import price, schedule, scores
 from ..functions.hashing import strip_fences
-from ..functions.text import OFFER_TYPES, first_match, has, offer_type, strip
+from ..functions.text import OFFER_TYPES, has, let, offer_type, strip
 from ..schemas import EXTRACTOR_REPLY
+from .skew import spread
 
 # --- fixed values -----------------------------------------------------------------
 ITEM_TRIGGER = r"(?iU)(?:including|includes?|featuring|features?|such\s+as|with)\s*:?\s*"
@@ -53,8 +54,13 @@ def _split_items(chunk: Column) -> Column:
 
 def _first_of_each(items: Column) -> Column:
     """Distinct ignoring case, the first spelling kept."""
-    lowered = F.transform(items, F.lower)
-    return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+
+    def unseen(a: Column) -> Column:
+        return let(
+            F.transform(a, F.lower), lambda low: F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+        )
+
+    return let(items, unseen)
 
 
 def extract_items(text: Column) -> Column:
@@ -65,12 +71,12 @@ def extract_items(text: Column) -> Column:
     triggered = F.coalesce(_split_items(F.get(F.split(rest, SENTENCE_END, 2), F.lit(0))), none)
     chunks = F.filter(
         F.regexp_extract_all(text, F.lit(COLON_LIST), F.lit(1)),
-        lambda c: ~has(c, ITEM_STOP) & (F.length(c) < 150),
+        lambda c: (F.length(c) < 150) & ~has(c, ITEM_STOP),
     )
     listed = F.get(F.filter(F.transform(chunks, _split_items), lambda a: F.size(a) > 0), F.lit(0))
     lines = F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda s: s.rlike(BULLET))
     bullets = F.flatten(F.transform(lines, lambda s: _split_items(F.substr(s, F.lit(3)))))
-    named = F.when(F.size(triggered) > 0, triggered).otherwise(F.coalesce(listed, none))
+    named = let(triggered, lambda a: F.when(F.size(a) > 0, a).otherwise(F.coalesce(listed, none)))
     return F.slice(_first_of_each(F.concat(named, bullets)), 1, 10)
 
 
@@ -87,7 +93,7 @@ def extract_restrictions(text: Column) -> Column:
 def rule_fields(df: DataFrame, text: str) -> DataFrame:
     """All rule-extracted columns of a text column, under the candidate names."""
     t = F.col(text)
-    staged = df.select(
+    staged = spread(df).select(
         "*",
         offer_type(t).alias("deal_type"),
         schedule.detect_days(t).alias("schedule_days"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, price, schedule, scores, text
 from ..schemas import INGEST_REPLY
-from .skew import best_row
+from .skew import spread
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def _finish(df: DataFrame, provenance: Provenance, *, method: Column, existing:
 def normalize_raw(listings: DataFrame, provenance: Provenance) -> DataFrame:
     """Listings of a feed: everything but ids and prices is read from title and description."""
     c = F.col
-    cleaned = listings.select(
+    cleaned = spread(listings).select(
         "seq", "source_deal_id", "original_price", "deal_price",
         c("url").alias("source_url"),
         F.coalesce(text.clean_text(c("title")), c("title")).alias("title"),

@@ -13,22 +13,18 @@ SMALL_BYTES = 64 << 20
 
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of a DataFrame."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def best_row(df: DataFrame, keys: list[str], better: Column) -> DataFrame:
-    """One whole row per key, the one with the greatest ``better`` value.
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on an input that is too small to fill them.
 
-    This is an aggregate and not a window: every task reduces its share of a hot key to
-    one row before the shuffle.
+    Small inputs arrive in a few splits; dealing their rows out costs little.  Large inputs
+    have splits enough and are left as they are.
     """
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*[F.col(c) for c in rest]), better).alias("_best"))
-        .select(*keys, *[F.col("_best")[c].alias(c) for c in rest])
-        .select(*df.columns)
-    )
+    context = df.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * SMALL_BYTES else df
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:

@@ -56,7 +56,7 @@ def rank_sql(source: str, wanted: str) -> str:
     FROM feats),
   ranked AS (
     SELECT *, round(least(0.25 * f1 + 0.20 * f2 + 0.15 * f3 + 0.20 * f4 + 0.10 * f5 + 0.05 * f6 + 0.05 * f7, 1.0), 4) AS score,
-      array_to_string((SELECT list(x.t ORDER BY x.w DESC, x.p) FROM unnest(parts) AS u(x) WHERE x.t IS NOT NULL)[1:3], '; ') AS reasons
+      coalesce(array_to_string((SELECT list(x.t ORDER BY x.w DESC, x.p) FROM unnest(parts) AS u(x) WHERE x.t IS NOT NULL)[1:3], '; '), '') AS reasons
     FROM told)"""
 
 
@@ -106,7 +106,7 @@ def nearby_closed_now(t):
 
 @query(
     f"""WITH {NEAR_SQL}, {rank_sql('near', 'false')}
-    SELECT id, round(0.25 * f1, 6) AS deal_value, round(0.20 * f2, 6) AS open_now, round(0.15 * f3, 6) AS freshness,
+    SELECT id, round(0.25 * f1, 6) AS deal_value, CAST(round(0.20 * f2, 6) AS DOUBLE) AS open_now, round(0.15 * f3, 6) AS freshness,
       round(0.20 * f4, 6) AS distance, round(0.10 * f5, 6) AS confidence, round(0.05 * f6, 6) AS venue_popularity FROM ranked"""
 )
 def nearby_debug(t):
@@ -231,7 +231,7 @@ def venue_for_mapping(t):
 
 
 @query("""SELECT d.id, s.name AS source, 'tag' || CAST(d.id % 5 AS VARCHAR) || ',all' AS tags FROM deals d
-    LEFT JOIN sources s ON s.id = d.source_id WHERE is_active""")
+    LEFT JOIN sources s ON s.id = d.source_id WHERE d.is_active""")
 def deal_cards(t):
     return q.deal_cards(t.deals.filter("is_active"), t.sources).select("id", "source", joined("tags", ","))
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import hashing, price, text
 from ..functions.text import clean_title, title_slug
+from ..operators.skew import spread
 
 # --- fixed values -----------------------------------------------------------------
 VOID_TAGS = {
@@ -248,8 +249,11 @@ def _joined(parts: Column, separator: str) -> Column:
 
 def _first_by(items: Column, key) -> Column:
     """Items of an array whose key did not occur earlier in it."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+    def unseen(keys: Column) -> Column:
+        return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+    return text.let(F.transform(items, key), unseen)
 
 
 def pages_to_blocks(
@@ -260,7 +264,7 @@ def pages_to_blocks(
     ``kind`` is ``menu_page`` (elements marked as specials) or ``blog_listing`` (one block
     per heading, else per list item).  ``block_count`` is the number of blocks of the page.
     """
-    walked = pages.withColumn("_w", _walk(F.col("html"), kind, heading_tags))
+    walked = spread(pages).withColumn("_w", _walk(F.col("html"), kind, heading_tags))
     blocks = F.transform(
         "_w.pieces",
         lambda p: F.struct(
@@ -299,7 +303,7 @@ def pages_to_blocks(
 
 def pages_to_listings(pages: DataFrame) -> DataFrame:
     """Pages (stem, url, html) -> flat listings, one per usable h2/h3 heading."""
-    walked = pages.withColumn("_w", _walk(F.col("html"), "listing", ()))
+    walked = spread(pages).withColumn("_w", _walk(F.col("html"), "listing", ()))
     items = F.transform(
         "_w.pieces",
         lambda p: F.struct(
