@@ -27,6 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if plan_bytes(df) < cores * SMALL_BYTES else df
 
 
+def work_partitions(df: DataFrame) -> int:
+    """Partitions for work that is heavy per row; small rows must not be merged into few tasks."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
     """Keys with more rows than one task should take, and the number of parts to cut them into.
 
