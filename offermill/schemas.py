@@ -1,17 +1,5 @@
 """Explicit schemas of sources and of the tables the jobs keep."""
 
-# Flat listing produced by every reader; ``raw_data`` is JSON text.
-LISTING = """
-  source_deal_id string, title string, url string, description string, image_url string,
-  merchant string, original_price double, deal_price double, expires_at timestamp, raw_data string
-"""
-
-VENUE_FEED = """
-  external_id string, name string, city string, address string, state string, country string,
-  lat double, lon double, category string, price_range string, rating double, review_count int,
-  phone string, website string, image_url string, city_key string
-"""
-
 FLAT_JSON = """
   source_deal_id string, title string, description string, url string, image_url string,
   merchant string, original_price double, deal_price double, expires_at string, raw_data string
@@ -23,23 +11,6 @@ OFFER_JSON = """
   end_time string, url string>
 """
 
-BUSINESS_JSON = f"""
-  map<string, struct<businesses: array<struct<
-    id string, name string, image_url string, is_closed boolean, url string, review_count int,
-    categories array<struct<alias string, title string>>, rating double,
-    coordinates struct<latitude double, longitude double>, price string,
-    location struct<address1 string, city string, state string, country string, zip_code string>,
-    display_phone string, phone string, deals array<{OFFER_JSON.format(id="deal_id")}>>>>>
-"""
-
-RESTAURANT_JSON = f"""
-  map<string, struct<restaurants: array<struct<
-    restaurant_id string, name string, cuisine string, price_range int, rating double, review_count int,
-    address struct<street string, city string, state string, country string, zip string>,
-    coordinates struct<lat double, lng double>, phone string, website string, booking_url string,
-    image_url string, promotions array<{OFFER_JSON.format(id="promo_id")}>>>>>
-"""
-
 FORUM_JSON = """
   data struct<children: array<struct<data: struct<
     id string, title string, url string, selftext string, is_self boolean, stickied boolean,
@@ -57,7 +28,3 @@ INGEST_REPLY = """
   category string, tags array<string>, merchant string, original_price double, deal_price double,
   expires_at string, quality_score double
 """
-
-SCHEDULE = "id long, deal_id long, day_of_week int, start_time string, end_time string, valid_from timestamp, valid_until timestamp, timezone string"
-
-EVENT = "event_id long, event_type string, session_id string, deal_id long, venue_id long, payload string, ip string, created_at timestamp"
