@@ -106,7 +106,7 @@ def normalize_candidates(candidates: DataFrame, provenance: Provenance) -> DataF
         candidates.withColumn("_clean", text.clean_text(block))
         .withColumn("_lines", lines)
         .withColumn("title", F.coalesce(F.get("_lines", F.lit(0)), F.lit("(no title)")))
-        .withColumn("description", text.blank_to_null(F.array_join(F.slice("_lines", 2, 2**31 - 1), "\n")))
+        .withColumn("description", text.blank_to_null(F.array_join(F.slice("_lines", F.lit(2), F.size("_lines")), "\n")))
         .withColumn("_given", price.parse_range_text(c("price_range")))
         .withColumn("_parsed", price.parse_price(block))
     )
