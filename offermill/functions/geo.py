@@ -15,11 +15,15 @@ MILES_PER_DEGREE = EARTH_RADIUS_MILES * math.pi / 180
 
 
 def miles_between(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance; the guard keeps rounding from leaving the domain of asin."""
+    """Great-circle distance, NULL when a coordinate is missing.
+
+    ``least`` keeps rounding from leaving the domain of asin, but passes over NULLs.
+    """
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
+    return F.when(known, F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
 def box(lat: float, lon: float, miles: float) -> tuple[float, float, float, float]:

@@ -17,8 +17,8 @@ TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 def miles_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return (
-        f"(2 * 3958.8 * asin(sqrt(least(1e0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
-        f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+        f"(CASE WHEN {lat1} + {lon1} + {lat2} + {lon2} IS NOT NULL THEN 2 * 3958.8 * asin(sqrt(least(1e0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * "
+        f"cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))) END)"
     )
 
 

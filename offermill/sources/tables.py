@@ -6,6 +6,7 @@ it; running a batch again overwrites the same folder, so retries change nothing.
 
 from __future__ import annotations
 
+import dataclasses
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,17 @@ def read_version(spark: SparkSession, root: str, name: str, version: int) -> Dat
     return spark.read.parquet(version_path(root, name, version))
 
 
+def write_state(state, root: str, version: int):
+    """Write every table of a state dataclass as one version and give it back as read.
+
+    Reading the written version also cuts the lineage between batches.
+    """
+    for f in dataclasses.fields(state):
+        write_version(getattr(state, f.name), root, f.name, version)
+    spark = getattr(state, dataclasses.fields(state)[0].name).sparkSession
+    return dataclasses.replace(state, **{f.name: read_version(spark, root, f.name, version) for f in dataclasses.fields(state)})
+
+
 def append_batch(df: DataFrame, root: str, name: str, batch: int) -> None:
     """One batch of an append-only log."""
     df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/batch={batch}")
