@@ -106,10 +106,15 @@ def mapping_counts(mappings: DataFrame) -> DataFrame:
 
 
 def _with_context(found: DataFrame, schedules: DataFrame, mappings: DataFrame, at: Column) -> DataFrame:
-    """Open flag (NULL without schedules) and venue popularity joined on."""
+    """Open flag (NULL without schedules) and venue popularity joined on.
+
+    Both child tables are cut down to the deals and venues found before they are grouped.
+    """
+    hours = schedules.join(found.select(F.col("id").alias("deal_id")), "deal_id", "left_semi")
+    listed = mappings.join(found.select("venue_id"), "venue_id", "left_semi")
     return (
-        found.join(open_flags(schedules, at), "id", "left")
-        .join(mapping_counts(mappings), "venue_id", "left")
+        found.join(open_flags(hours, at), "id", "left")
+        .join(mapping_counts(listed), "venue_id", "left")
         .withColumn("venue_source_count", F.greatest(F.coalesce("mapping_count", F.lit(0)), F.lit(1)))
         .drop("mapping_count")
     )
@@ -180,30 +185,23 @@ def nearby(
 
 
 def within_radius(
-    points: DataFrame,
-    deals: DataFrame,
-    *,
-    max_radius_m: float,
-    positions: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    points: DataFrame, deals: DataFrame, *, max_radius_m: float, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Points (query_id, q_lat, q_lon, radius_m) joined with every deal inside their circle.
 
     Both sides meet on grid cells of about the largest radius: a deal lies in one cell, a
     point is sent to the few cells its circle touches.  Crowded cells are cut into parts.
-    ``max_radius_m`` only sets the cell size; larger radii stay correct.  ``positions`` is
-    a cheaper table with the same lat/lon rows, used to find the crowded cells.
+    A small table of points is broadcast by Spark, and the deals are not shuffled at all.
+    ``max_radius_m`` only sets the cell size; larger radii stay correct.
     """
     size = max(max_radius_m * geo.METERS_TO_MILES / geo.MILES_PER_DEGREE, 1e-3)
     miles = F.col("radius_m") * geo.METERS_TO_MILES
     cells = points.select(
         "*", F.explode(geo.lat_span(F.col("q_lat"), miles, size)).alias("_cy")
     ).select("*", F.explode(geo.lon_span(F.col("q_lat"), F.col("q_lon"), miles, size)).alias("_cx"))
-    at_cell = {"_cy": geo.cell(F.col("lat"), size), "_cx": geo.lon_cell(F.col("lon"), size)}
-    placed = deals.withColumns(at_cell)
-    counted = None if positions is None else positions.withColumns(at_cell)
+    placed = deals.withColumns({"_cy": geo.cell(F.col("lat"), size), "_cx": geo.lon_cell(F.col("lon"), size)})
     distance = geo.miles_between(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
-    joined = salted_join(placed, cells, ["_cy", "_cx"], F.col("id"), counted=counted, rows_per_task=rows_per_task)
+    joined = salted_join(placed, cells, ["_cy", "_cx"], F.col("id"), rows_per_task=rows_per_task)
     return (
         joined.withColumn("distance_miles", distance)
         .filter(F.col("distance_miles") <= miles)
@@ -227,14 +225,11 @@ def nearby_batch(
     """The ranked geo query for a table of points (query_id, q_lat, q_lon, radius_m,
     preferred_categories) at one instant: the ``top`` deals of each point.
 
-    Schedules and mapping counts join the deals once, before the geo join multiplies rows.
+    The geo join comes first, so only schedules and mappings of deals in reach are grouped.
     """
     instant = F.lit(at).cast("timestamp")
-    placed = located(deals)
-    prepared = _only_open(_with_context(placed, schedules, mappings, instant), open_now)
-    hits = within_radius(
-        points, prepared, max_radius_m=max_radius_m, positions=placed, rows_per_task=rows_per_task
-    )
+    hits = within_radius(points, located(deals), max_radius_m=max_radius_m, rows_per_task=rows_per_task)
+    hits = _only_open(_with_context(hits, schedules, mappings, instant), open_now)
     ready = hits.withColumns(
         {
             "deal_type": F.lit(None).cast("string"),

@@ -124,49 +124,63 @@ def report_events(events: DataFrame, deals: DataFrame, cities: DataFrame, city_s
     )
 
 
-def reports_by_type(reports: DataFrame) -> DataFrame:
-    """Both types are always present."""
-    row = reports.agg(*[F.count_if(F.col("event_type") == t).alias(t) for t in REPORT_TYPES])
-    return row.unpivot([], list(REPORT_TYPES), "event_type", "reports")
-
-
-def most_reported(reports: DataFrame, deals: DataFrame, sources: DataFrame, cities: DataFrame, limit: int = 20) -> DataFrame:
-    """The deals with most reports; among equals the one reported first."""
-    per_deal = reports.filter(F.col("deal_id").isNotNull()).groupBy("deal_id").agg(
+def reports_per_deal(reports: DataFrame) -> DataFrame:
+    """Counts of both types per deal (NULL included) and the first event, which breaks ties."""
+    return reports.groupBy("deal_id").agg(
         F.count_if(F.col("event_type") == REPORT_TYPES[0]).alias("incorrect_reports"),
         F.count_if(F.col("event_type") == REPORT_TYPES[1]).alias("expired_reports"),
         F.count(F.lit(1)).alias("total_reports"),
-        F.min("event_id").alias("_first"),
+        F.min("event_id").alias("first_event"),
     )
-    top = F.broadcast(per_deal.orderBy(F.desc("total_reports"), "_first").limit(limit))
+
+
+def most_reported(per_deal: DataFrame, deals: DataFrame, sources: DataFrame, cities: DataFrame, limit: int = 20) -> DataFrame:
+    """The deals with most reports; among equals the one reported first."""
+    ranked = per_deal.filter("deal_id IS NOT NULL").orderBy(F.desc("total_reports"), "first_event")
+    top = F.broadcast(ranked.limit(limit))
     detail = deals.select(F.col("id").alias("deal_id"), "title", "source_id", "city_id", "is_active", "quality_score")
     return (
         detail.join(top, "deal_id")
         .join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id", "left")
         .join(cities.select(F.col("id").alias("city_id"), F.col("name").alias("city")), "city_id", "left")
-        .drop("source_id", "city_id", "_first")
+        .drop("source_id", "city_id", "first_event")
     )
 
 
 def reports_summary(
     events: DataFrame, deals: DataFrame, sources: DataFrame, cities: DataFrame, city_slug: str | None = None, limit: int = 20
 ) -> DataFrame:
-    """Long form (section, key, reports): total, by type, and by source and city of the top deals."""
-    reports = report_events(events, deals, cities, city_slug)
-    top = most_reported(reports, deals, sources, cities, limit)
-    by_type = reports_by_type(reports)
-
-    def part(df: DataFrame, section: str, key: str, value: Column) -> DataFrame:
-        grouped = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(value.cast("long").alias("reports"))
-        return grouped.select(F.lit(section).alias("section"), "key", "reports")
+    """Long form (section, key, reports): total, by type, and by source and city of the top deals.
 
-    total = by_type.agg(F.sum("reports").cast("long").alias("reports")).select(F.lit("total").alias("section"), F.lit("all").alias("key"), "reports")
-    return (
-        total.unionByName(by_type.select(F.lit("by_type").alias("section"), F.col("event_type").alias("key"), "reports"))
-        .unionByName(part(top, "by_source", "source", F.sum("total_reports")))
-        .unionByName(part(top, "by_city", "city", F.sum("total_reports")))
-        .unionByName(part(top, "deal", "deal_id", F.sum("total_reports")).withColumn("key", F.col("key").cast("string")))
+    All sections come from the counts per deal, whose shuffle Spark reuses.
+    """
+    per_deal = reports_per_deal(report_events(events, deals, cities, city_slug))
+    sums = per_deal.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("total_reports", "incorrect_reports", "expired_reports")]
+    )
+    named = F.array(
+        *[
+            F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), F.col(n).alias("reports"))
+            for section, key, n in (
+                ("total", "all", "total_reports"),
+                ("by_type", REPORT_TYPES[0], "incorrect_reports"),
+                ("by_type", REPORT_TYPES[1], "expired_reports"),
+            )
+        ]
+    )
+    top = most_reported(per_deal, deals, sources, cities, limit).select(
+        "total_reports",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(section).alias("section"), F.col(n).cast("string").alias("key"))
+                    for section, n in (("by_source", "source"), ("by_city", "city"), ("deal", "deal_id"))
+                ]
+            )
+        ).alias("s"),
     )
+    parts = top.select("s.*", "total_reports").filter("key IS NOT NULL").groupBy("section", "key").agg(F.sum("total_reports").alias("reports"))
+    return sums.select(F.inline(named)).unionByName(parts)
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:

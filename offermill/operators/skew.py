@@ -51,21 +51,17 @@ def salted_join(
     *,
     condition: Column | None = None,
     how: str = "inner",
-    counted: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Equi-join in which only hot keys of ``big`` are cut into parts.
 
-    ``counted`` is a cheaper table with the keys of ``big``, to count them in.
-
     Rows of a hot key are spread over parts by a hash of ``spread_by``; the matching rows
     of ``small`` are repeated once per part.  All other keys join as they are.
     """
-    counted = big if counted is None else counted
-    if rows_per_task >= ROWS_PER_TASK and plan_bytes(counted) < SMALL_BYTES:
+    if rows_per_task >= ROWS_PER_TASK and plan_bytes(big) < SMALL_BYTES:
         out = big.join(small, keys, how)
         return out if condition is None else out.filter(condition)
-    hot = F.broadcast(hot_keys(counted, keys, rows_per_task))
+    hot = F.broadcast(hot_keys(big, keys, rows_per_task))
     left = big.join(hot, keys, "left").withColumn(
         "_part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts").cast("long")), F.lit(0).cast("long"))
     )

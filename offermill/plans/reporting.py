@@ -129,7 +129,7 @@ def reports_summary_city(t):
 )
 def most_reported(t):
     reports = r.report_events(t.event_log, t.deals, t.cities, "no-such-city")
-    return r.most_reported(reports, t.deals, t.sources, t.cities)
+    return r.most_reported(r.reports_per_deal(reports), t.deals, t.sources, t.cities)
 
 
 @query("""SELECT id, source_id, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, CAST(place AS INT) AS place FROM (
