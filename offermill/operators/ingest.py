@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, price, scores, text
 from .normalize import ingest_fields
-from .skew import previous_value
+from .ranking import rank_stored
+from .skew import previous_value, salted_join, side_by_side
 
 KEY = ["source_id", "source_deal_id"]
 
@@ -187,8 +188,6 @@ def flag_url_duplicates(deals: DataFrame, new_ids: DataFrame | None = None) -> t
     Best is the highest quality (unknown counts 0), then the newest.  With ``new_ids`` only
     URLs of new deals are looked at.  -> (next table, one row of checked and flagged).
     """
-    from .skew import salted_join
-
     active = deals.filter("is_active").select(
         "id", "source_id", "quality_score", "fetched_at", hashing.url_fingerprint(F.col("url")).alias("_fp")
     )
@@ -207,9 +206,7 @@ def flag_url_duplicates(deals: DataFrame, new_ids: DataFrame | None = None) -> t
         .filter(F.col("source_id") != F.col("_winner"))
         .select("id", F.lit(True).alias("_flagged"))
     )
-    stats = (
-        checked.agg(F.count(F.lit(1)).alias("checked")).join(F.broadcast(losers.agg(F.count(F.lit(1)).alias("flagged"))))
-    )
+    stats = side_by_side(checked.agg(F.count(F.lit(1)).alias("checked")), losers.agg(F.count(F.lit(1)).alias("flagged")))
     following = deals.join(losers, "id", "left").withColumn("is_active", F.col("is_active") & F.col("_flagged").isNull())
     return following.select(*deals.columns), stats
 
@@ -374,7 +371,7 @@ def ingest_venue_batch(
     raw = changed.select(
         hashing.row_id(*[F.col(k) for k in KEY], at, F.col("seq")).alias("id"),
         *KEY, deal_id.alias("deal_id"), "raw_payload", "content_hash",
-        (at + F.make_dt_interval(secs=F.lit(0))).alias("fetched_at"),
+        at.alias("fetched_at"),
     )
     new_keys = actions.filter(F.col("action") == "inserted").select(*KEY)
     firsts = changed.groupBy(*KEY).agg(F.min_by("raw_data", "seq").alias("raw_data"))
@@ -414,7 +411,6 @@ def run_row(actions: DataFrame, source_id: int, started_at: str, finished_at: st
         count("inserted").alias("deals_inserted"),
         count("updated").alias("deals_updated"),
         count("skipped").alias("deals_skipped"),
-        count("inserted").alias("_i"),
     ).select(
         hashing.row_id(F.lit(source_id), started).alias("id"),
         F.lit(source_id).cast("long").alias("source_id"),
@@ -423,15 +419,13 @@ def run_row(actions: DataFrame, source_id: int, started_at: str, finished_at: st
         F.lit("error" if error else "success").alias("status"),
         "deals_fetched", "deals_inserted", "deals_updated", "deals_skipped",
         (F.col("deals_inserted") + F.col("deals_updated")).alias("records_raw"),
-        (F.unix_micros(finished) - F.unix_micros(started)).cast("double").__truediv__(1e6).alias("duration_seconds"),
+        ((F.unix_micros(finished) - F.unix_micros(started)) / F.lit(1e6)).alias("duration_seconds"),
         F.lit(error).cast("string").alias("error_msg"),
     )
 
 
 def backfill(deals: DataFrame, listings: DataFrame, source_id: int, now: str) -> DataFrame:
     """Insert-only load of already normalized listings; quality 0.75, discount derived, all active deals ranked."""
-    from .ranking import rank_stored
-
     at = F.lit(now).cast("timestamp")
     meta = F.from_json("raw_data", "struct<category:string,tags:array<string>>")
     rows = listings.withColumn("_m", meta).select(

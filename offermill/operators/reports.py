@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .skew import side_by_side
 
 REPORT_TYPES = ("report_incorrect", "report_expired")
 
@@ -23,14 +24,13 @@ def deals_by_category(deals: DataFrame, *, active_only: bool = True, null_label:
 
 
 def admin_stats(deals: DataFrame, normalization_log: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row; every table is read once, and the three one-row results are put side by side."""
+    """One row; every table is read once."""
     d = deals.agg(F.count(F.lit(1)).alias("total_deals"), F.count_if("is_active").alias("active_deals"))
     n = normalization_log.agg(
         F.count_if(~F.col("fallback_used")).alias("ai_normalized"), F.count_if("fallback_used").alias("fallback_normalized")
     )
     r = runs.agg(F.count(F.lit(1)).alias("total_runs"), F.count_if(F.col("status") == "error").alias("failed_runs"))
-    one = F.lit(1).alias("_one")
-    return d.select("*", one).join(n.select("*", one), "_one").join(r.select("*", one), "_one").drop("_one")
+    return side_by_side(d, n, r)
 
 
 def source_stats(deals: DataFrame, sources: DataFrame, now: str | None = None) -> DataFrame:
@@ -113,15 +113,12 @@ def report_events(events: DataFrame, deals: DataFrame, cities: DataFrame, city_s
     reports = events.filter(F.col("event_type").isin(*REPORT_TYPES))
     if not city_slug:
         return reports
-    city = F.broadcast(cities.filter(F.col("slug") == city_slug).select(F.col("id").alias("city_id")))
-    known = F.broadcast(city.agg((F.count(F.lit(1)) > 0).alias("_known")))
-    in_city = deals.join(city, "city_id").select(F.col("id").alias("deal_id"), F.lit(True).alias("_in"))
-    flagged = reports.join(in_city, "deal_id", "left").select("*", F.lit(1).alias("_one"))
-    return (
-        flagged.join(known.select("_known", F.lit(1).alias("_one")), "_one")
-        .filter(~F.col("_known") | F.col("_in"))
-        .drop("_one", "_known", "_in")
-    )
+    city = cities.filter(F.col("slug") == city_slug).select(F.col("id").alias("city_id"))
+    if city.isEmpty():
+        return reports
+    # A slug names one city, so this side is one row.
+    in_city = deals.join(F.broadcast(city), "city_id", "left_semi").select(F.col("id").alias("deal_id"))
+    return reports.join(in_city, "deal_id", "left_semi")
 
 
 def reports_per_deal(reports: DataFrame) -> DataFrame:

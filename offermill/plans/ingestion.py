@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import feedback, ingest, lifecycle
+from ..operators.skew import side_by_side
 from .extraction import _DISCOUNT_SQL, _INGEST_SQL
 from .registry import query, rounded, stamp
 from .views import NOW
@@ -120,7 +121,7 @@ def ingest_listings(t):
 def ingest_log(t):
     out = _collected(t)
     log = out["log"].agg(F.count(F.lit(1)).alias("rows"), F.count_if("fallback_used").alias("fallback"))
-    return log.join(F.broadcast(out["inserted"].agg(F.count(F.lit(1)).alias("inserted"))))
+    return side_by_side(log, out["inserted"].agg(F.count(F.lit(1)).alias("inserted")))
 
 
 _FP = "lower(rtrim(regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', ''), '/'))"
@@ -177,7 +178,6 @@ def venue_feed_mappings(t):
 
 def _venue_batch(t):
     """Source 2: two thirds of the listings are known; a tenth of all has a new price."""
-    text = t.spark.sql
     base = t.listings.withColumn(
         "raw_data",
         F.to_json(
@@ -272,7 +272,8 @@ def purge_expired(t):
     (SELECT count(*) FROM deals WHERE expires_at < TIMESTAMP '{NOW}') AS with_inactive""")
 def purge_expired_counts(t):
     one = lifecycle.purge_expired(t.deals, NOW)[1].withColumnRenamed("flagged", "active_only")
-    return one.join(F.broadcast(lifecycle.purge_expired(t.deals, NOW, count_inactive=True)[1].withColumnRenamed("flagged", "with_inactive")))
+    both = lifecycle.purge_expired(t.deals, NOW, count_inactive=True)[1].withColumnRenamed("flagged", "with_inactive")
+    return side_by_side(one, both)
 
 
 @query(f"SELECT id, is_active AND NOT coalesce(last_seen_at < TIMESTAMP '{NOW}' - INTERVAL 96 HOUR, false) AS is_active FROM deals")

@@ -105,7 +105,7 @@ _BUSINESS = """
   phone:string,deals:array<string>"""
 
 
-def read_business_json(spark: SparkSession, path: str, city: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_business_json(spark: SparkSession, path: str, city: str | None = None, *, source: str = "businesses") -> tuple[DataFrame, DataFrame]:
     """Businesses with nested deals -> (venues, listings).  Closed businesses are dropped."""
     places = _nested(spark, path, "businesses", _BUSINESS, city).filter(~F.coalesce("p.is_closed", F.lit(False)))
     lookup = F.create_map(*[F.lit(x) for pair in BUSINESS_CATEGORIES.items() for x in pair])
@@ -126,7 +126,7 @@ def read_business_json(spark: SparkSession, path: str, city: str | None = None)
     listings = _listing(
         offers, source_deal_id=c("o.deal_id"), title=c("o.title"), url=url, description=c("o.description"), merchant=c("p.name"),
         original_price=c("o.original_price"), deal_price=c("o.deal_price"),
-        raw_data=_meta(venue_external_id=c("p.id"), venue_name=c("p.name"), source=F.lit("mock_yelp"), raw_deal=c("_raw")),
+        raw_data=_meta(venue_external_id=c("p.id"), venue_name=c("p.name"), source=F.lit(source), raw_deal=c("_raw")),
     )
     return venues, listings
 
@@ -137,7 +137,7 @@ _RESTAURANT = """
   phone:string,website:string,booking_url:string,image_url:string,promotions:array<string>"""
 
 
-def read_restaurant_json(spark: SparkSession, path: str, city: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_restaurant_json(spark: SparkSession, path: str, city: str | None = None, *, source: str = "restaurants") -> tuple[DataFrame, DataFrame]:
     """Restaurants with nested promotions -> (venues, listings).
 
     A blank URL counts as missing: promotion, then booking page, then website.
@@ -160,7 +160,7 @@ def read_restaurant_json(spark: SparkSession, path: str, city: str | None = None
         offers, source_deal_id=c("o.promo_id"), title=c("o.title"), url=F.coalesce(blank_to_null(c("o.url")), booking),
         description=c("o.description"), merchant=c("p.name"), original_price=c("o.original_price"), deal_price=c("o.deal_price"),
         raw_data=_meta(
-            venue_external_id=c("p.restaurant_id"), venue_name=c("p.name"), booking_url=booking, source=F.lit("mock_dining"), raw_promo=c("_raw")
+            venue_external_id=c("p.restaurant_id"), venue_name=c("p.name"), booking_url=booking, source=F.lit(source), raw_promo=c("_raw")
         ),
     )
     return venues, listings

@@ -32,6 +32,9 @@ def canonical(rows: list[tuple]) -> list[tuple]:
 def compare(spark, con, name: str, sf_dir: str) -> str:
     start = time.time()
     df = entry.queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        return "CROSS JOIN in the plan"
     names = sorted(df.columns)
     got = canonical([tuple(r) for r in df.select(*names).collect()])
     took = time.time() - start
