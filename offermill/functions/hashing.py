@@ -23,8 +23,8 @@ def ip_hash(ip: Column) -> Column:
 
 
 def content_hash(json_text: Column) -> Column:
-    """Hash that ignores key order: a variant writes its keys back sorted."""
-    return short_sha(F.to_json(F.parse_json(json_text)), 16)
+    """Hash that ignores key order: a variant writes its keys back sorted.  Broken JSON is hashed as it is."""
+    return short_sha(F.coalesce(F.to_json(F.try_parse_json(json_text)), json_text), 16)
 
 
 def row_id(*parts: Column) -> Column:

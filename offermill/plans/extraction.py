@@ -297,6 +297,25 @@ def page_menu_blocks(t):
     return blocks.select("page_id", "source_url", "position", "block_count", "html_context", "block_type", "text")
 
 
+_TITLE = f"trim(translate(regexp_replace({_decoded(chr(34) + 'h' + chr(34))}, '^\\d+[.)]\\s*', ''), '–—’é', '--''e'))"
+_REST = "replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '\\s*(<[^>]+>\\s*)+', ' ', 'g')), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(
+    f"""WITH h AS (SELECT page_id, url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, html FROM pages),
+    x AS (SELECT page_id, url, {_TITLE} AS title, nullif(substr({_REST}, 1, 500), '') AS description FROM h)
+    SELECT 'fix-' || CAST(page_id AS VARCHAR) || '-' || substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50) AS source_deal_id, title, url, description
+    FROM x WHERE length(title) BETWEEN 5 AND 250 AND NOT regexp_matches(title,
+      'newsletter|subscribe|contact|privacy|terms|copyright|follow us|social media|top picks|our menu|reservations|about', 'i')""",
+    views=False,
+)
+def page_listings(t):
+    """The page headings as listings; h1 is read as h2, the level of an item."""
+    markup = F.replace(F.replace("html", F.lit("<h1>"), F.lit("<h2>")), F.lit("</h1>"), F.lit("</h2>"))
+    pages = t.base("pages").select(F.col("page_id").cast("string").alias("stem"), "url", markup.alias("html"))
+    return html.pages_to_listings(pages).select("source_deal_id", "title", "url", "description")
+
+
 @query()
 def page_candidates(t):
     """Pages to validated candidates, with the blocks of each page counted."""
