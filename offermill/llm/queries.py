@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, factorization, mixing
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,3 +18,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(mixing.ORACLE)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorization.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
