@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, factorization, mixing, token_files
+from . import chat, exact_dedup, factorization, jaccard_join, mixing, token_files
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -40,3 +40,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
     return chat.read_back(chat.formatted(rows))
+
+
+@query()
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.clusters(table(spark, sf_dir, "documents"))
