@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, factorization, jaccard_join, mixing, passages, token_files
+from . import chat, decontaminate, exact_dedup, factorization, jaccard_join, mixing, passages, suffix_dedup, token_files
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -55,3 +55,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeats(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
