@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, factorization, jaccard_join, mixing, passages, suffix_dedup, token_files
+from . import chat, decontaminate, exact_dedup, factorization, jaccard_join, mixing, passages, recurrent_lm, suffix_dedup, token_files
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -60,3 +60,8 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query()
+def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.scores(table(spark, sf_dir, "documents"))
