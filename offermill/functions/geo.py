@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,17 +28,34 @@ def miles_between(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Col
     return F.when(known, F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
-def box(lat: float, lon: float, miles: float) -> tuple[float, float, float, float]:
-    """(min_lat, max_lat, min_lon, max_lon) around one point, as plain numbers."""
-    d_lat = math.degrees(miles / EARTH_RADIUS_MILES)
-    d_lon = math.degrees(miles / (EARTH_RADIUS_MILES * max(math.cos(math.radians(lat)), 1e-12)))
-    return lat - d_lat, lat + d_lat, lon - d_lon, lon + d_lon
+Box = tuple[float, float, list[tuple[float, float]]]
 
 
-def in_box(lat: Column, lon: Column, bounds: tuple[float, float, float, float]) -> Column:
+def box(lat: float, lon: float, miles: float) -> Box:
+    """(min_lat, max_lat, longitude ranges) that hold a circle around one point, as plain numbers.
+
+    The reach in longitude is asin(sin(r) / cos(lat)); a circle over a pole takes all, one over the antimeridian two
+    ranges.  A hair is added against rounding.
+    """
+    angle = miles / EARTH_RADIUS_MILES
+    reach = math.degrees(angle) + 1e-9
+    ratio = math.sin(angle) / max(math.cos(math.radians(lat)), 1e-12)
+    if abs(lat) + reach >= 90 or ratio >= 1:
+        return lat - reach, lat + reach, [(-180.0, 180.0)]
+    wide = math.degrees(math.asin(ratio)) + 1e-9
+    low, high = lon - wide, lon + wide
+    ranges = [(low, high)]
+    if low < -180:
+        ranges = [(-180.0, high), (low + 360, 180.0)]
+    elif high > 180:
+        ranges = [(low, 180.0), (-180.0, high - 360)]
+    return lat - reach, lat + reach, ranges
+
+
+def in_box(lat: Column, lon: Column, bounds: Box) -> Column:
     """Comparisons with constants, so that they reach the Parquet scan."""
-    low_lat, high_lat, low_lon, high_lon = bounds
-    return lat.between(low_lat, high_lat) & lon.between(low_lon, high_lon)
+    low_lat, high_lat, ranges = bounds
+    return lat.between(low_lat, high_lat) & reduce(or_, [lon.between(low, high) for low, high in ranges])
 
 
 def cell(degrees: Column, size: float) -> Column:

@@ -141,7 +141,7 @@ def slug(c: Column) -> Column:
 
 
 def title_slug(c: Column) -> Column:
-    return F.substring(slug(c), 1, 50)
+    return slug(c)
 
 
 def clean_title(c: Column) -> Column:

@@ -9,7 +9,6 @@ from ..functions import price, schedule, scores
 from ..functions.hashing import strip_fences
 from ..functions.text import OFFER_TYPES, has, let, offer_type, strip
 from ..schemas import EXTRACTOR_REPLY
-from .skew import spread
 
 # --- fixed values -----------------------------------------------------------------
 ITEM_TRIGGER = r"(?iU)(?:including|includes?|featuring|features?|such\s+as|with)\s*:?\s*"
@@ -49,7 +48,7 @@ def _split_items(chunk: Column) -> Column:
         F.split(strip(chunk), ITEM_SEPARATOR),
         lambda p: F.regexp_replace(strip(F.regexp_replace(strip(p), r"^\.+|\.+$", "")), LEADING_CONJUNCTION, ""),
     )
-    return F.filter(parts, lambda p: F.length(p).between(3, 59))
+    return F.filter(parts, lambda p: F.length(p) >= 3)
 
 
 def _first_of_each(items: Column) -> Column:
@@ -64,20 +63,20 @@ def _first_of_each(items: Column) -> Column:
 
 
 def extract_items(text: Column) -> Column:
-    """Up to ten items: after a trigger word, else from a colon list, plus bullet lines."""
+    """All items: after a trigger word, else from a colon list, plus bullet lines."""
     none = F.array().cast("array<string>")
     rest = F.get(F.split(text, ITEM_TRIGGER, 2), F.lit(1))
     rest = F.get(F.split(rest, "(?iU)" + ITEM_STOP, 2), F.lit(0))
     triggered = F.coalesce(_split_items(F.get(F.split(rest, SENTENCE_END, 2), F.lit(0))), none)
     chunks = F.filter(
         F.regexp_extract_all(text, F.lit(COLON_LIST), F.lit(1)),
-        lambda c: (F.length(c) < 150) & ~has(c, ITEM_STOP),
+        lambda c: ~has(c, ITEM_STOP),
     )
     listed = F.get(F.filter(F.transform(chunks, _split_items), lambda a: F.size(a) > 0), F.lit(0))
     lines = F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda s: s.rlike(BULLET))
     bullets = F.flatten(F.transform(lines, lambda s: _split_items(F.substr(s, F.lit(3)))))
     named = let(triggered, lambda a: F.when(F.size(a) > 0, a).otherwise(F.coalesce(listed, none)))
-    return F.slice(_first_of_each(F.concat(named, bullets)), 1, 10)
+    return _first_of_each(F.concat(named, bullets))
 
 
 def extract_restrictions(text: Column) -> Column:
@@ -93,7 +92,7 @@ def extract_restrictions(text: Column) -> Column:
 def rule_fields(df: DataFrame, text: str) -> DataFrame:
     """All rule-extracted columns of a text column, under the candidate names."""
     t = F.col(text)
-    staged = spread(df).select(
+    staged = df.select(
         "*",
         offer_type(t).alias("deal_type"),
         schedule.detect_days(t).alias("schedule_days"),

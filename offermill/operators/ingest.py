@@ -186,12 +186,14 @@ def flag_url_duplicates(deals: DataFrame, new_ids: DataFrame | None = None) -> t
     """Active deals of other sources behind the same canonical URL give way to the best one.
 
     Best is the highest quality (unknown counts 0), then the newest.  With ``new_ids`` only
-    URLs of new deals are looked at.  -> (next table, one row of checked and flagged).
+    URLs of new deals are looked at; deals without a URL have no partner.  -> (next table, one row of checked and flagged).
     """
     active = deals.filter("is_active").select(
-        "id", "source_id", "quality_score", "fetched_at", hashing.url_fingerprint(F.col("url")).alias("_fp")
+        "id", "source_id", "quality_score", "fetched_at", hashing.url_fingerprint(F.col("url")).alias("_fp"),
+        (hashing.canonical_url(F.col("url")) != "").alias("_named"),
     )
     checked = active if new_ids is None else active.join(new_ids.select("id"), "id", "left_semi")
+    active = active.filter("_fp IS NOT NULL AND _named")
     if new_ids is not None:
         active = active.join(checked.select("_fp").distinct(), "_fp", "left_semi")
     better = F.struct(F.coalesce("quality_score", F.lit(0.0)), F.col("fetched_at"), F.col("id"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import geo, hashing
 
 # --- fixed values -----------------------------------------------------------------
-SORT_COLUMNS = ["rank_score", "discount_pct", "fetched_at", "last_seen_at"]
 DAY_NAMES = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 # ----------------------------------------------------------------------------------
 
+PAIR_TIES = ("a_id", "b_id")
+
 
 def _all(conditions: list[Column | None]) -> Column:
     return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
@@ -78,9 +79,13 @@ def search_deals(
 
 
 def page(deals: DataFrame, sort: str = "rank_score", limit: int = 50, offset: int = 0, *, tie: str = "id") -> DataFrame:
-    """Descending, NULLs last, then one page; ``tie`` makes the order total."""
-    by = sort if sort in SORT_COLUMNS + ["score"] else "rank_score"
-    ordered = deals.orderBy(F.col(by).desc_nulls_last(), F.col(tie))
+    """Descending, NULLs last, then one page; ``tie`` makes the order total, for pairs both ids do.
+
+    Any column of the frame can be the order; an unknown name falls back to the rank.
+    """
+    by = sort if sort in deals.columns else "rank_score"
+    ties = [tie] if tie in deals.columns else [c for c in PAIR_TIES if c in deals.columns]
+    ordered = deals.orderBy(F.col(by).desc_nulls_last(), *ties)
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,7 +149,7 @@ def most_reported(per_deal: DataFrame, deals: DataFrame, sources: DataFrame, cit
 def reports_summary(
     events: DataFrame, deals: DataFrame, sources: DataFrame, cities: DataFrame, city_slug: str | None = None, limit: int = 20
 ) -> DataFrame:
-    """Long form (section, key, reports): total, by type, and by source and city of the top deals.
+    """Long form (section, key, reports): total, by type, by source and by city of all deals, and the top deals.
 
     All sections come from the counts per deal, whose shuffle Spark reuses.
     """
@@ -165,19 +167,15 @@ def reports_summary(
             )
         ]
     )
-    top = most_reported(per_deal, deals, sources, cities, limit).select(
-        "total_reports",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(section).alias("section"), F.col(n).cast("string").alias("key"))
-                    for section, n in (("by_source", "source"), ("by_city", "city"), ("deal", "deal_id"))
-                ]
-            )
-        ).alias("s"),
-    )
-    parts = top.select("s.*", "total_reports").filter("key IS NOT NULL").groupBy("section", "key").agg(F.sum("total_reports").alias("reports"))
-    return sums.select(F.inline(named)).unionByName(parts)
+    placed = per_deal.join(deals.select(F.col("id").alias("deal_id"), "source_id", "city_id"), "deal_id")
+    parts = []
+    for section, table, key in (("by_source", sources, "source_id"), ("by_city", cities, "city_id")):
+        counts = placed.groupBy(key).agg(F.sum("total_reports").alias("reports"))
+        names = table.select(F.col("id").alias(key), F.col("name").alias("key"))
+        parts.append(counts.join(names, key).groupBy("key").agg(F.sum("reports").alias("reports")).select(F.lit(section).alias("section"), "key", "reports"))
+    top = most_reported(per_deal, deals, sources, cities, limit)
+    parts.append(top.select(F.lit("deal").alias("section"), F.col("deal_id").cast("string").alias("key"), F.col("total_reports").alias("reports")))
+    return reduce(DataFrame.unionByName, parts, sums.select(F.inline(named)))
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:

@@ -9,24 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-# Below this plan size no key can be heavy enough to be worth counting.
-SMALL_BYTES = 64 << 20
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a DataFrame."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on an input that is too small to fill them.
-
-    Small inputs arrive in a few splits; dealing their rows out costs little.  Large inputs
-    have splits enough and are left as they are.
-    """
-    context = df.sparkSession.sparkContext
-    cores = context.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < cores * SMALL_BYTES else df
 
 
 def work_partitions(df: DataFrame) -> int:
@@ -60,9 +42,6 @@ def salted_join(
     Rows of a hot key are spread over parts by a hash of ``spread_by``; the matching rows
     of ``small`` are repeated once per part.  All other keys join as they are.
     """
-    if rows_per_task >= ROWS_PER_TASK and plan_bytes(big) < SMALL_BYTES:
-        out = big.join(small, keys, how)
-        return out if condition is None else out.filter(condition)
     hot = F.broadcast(hot_keys(big, keys, rows_per_task))
     left = big.join(hot, keys, "left").withColumn(
         "_part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts").cast("long")), F.lit(0).cast("long"))

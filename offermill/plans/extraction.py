@@ -303,8 +303,8 @@ _REST = "replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?
 
 @query(
     f"""WITH h AS (SELECT page_id, url, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, html FROM pages),
-    x AS (SELECT page_id, url, {_TITLE} AS title, nullif(substr({_REST}, 1, 500), '') AS description FROM h)
-    SELECT 'fix-' || CAST(page_id AS VARCHAR) || '-' || substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50) AS source_deal_id, title, url, description
+    x AS (SELECT page_id, url, {_TITLE} AS title, nullif({_REST}, '') AS description FROM h)
+    SELECT 'fix-' || CAST(page_id AS VARCHAR) || '-' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS source_deal_id, title, url, description
     FROM x WHERE length(title) BETWEEN 5 AND 250 AND NOT regexp_matches(title,
       'newsletter|subscribe|contact|privacy|terms|copyright|follow us|social media|top picks|our menu|reservations|about', 'i')""",
     views=False,

@@ -99,6 +99,8 @@ def _summary_sql(where: str) -> str:
       count(*) FILTER (event_type = 'report_expired') AS x, min(event_id) AS f FROM rep WHERE deal_id IS NOT NULL GROUP BY deal_id),
     top AS (SELECT * FROM per_deal ORDER BY n DESC, f LIMIT 20),
     det AS (SELECT t.*, d.title, d.is_active, d.quality_score, s.name AS source, c.name AS city FROM top t JOIN deals d ON d.id = t.deal_id
+      LEFT JOIN sources s ON s.id = d.source_id LEFT JOIN cities c ON c.id = d.city_id),
+    everywhere AS (SELECT p.n, s.name AS source, c.name AS city FROM per_deal p JOIN deals d ON d.id = p.deal_id
       LEFT JOIN sources s ON s.id = d.source_id LEFT JOIN cities c ON c.id = d.city_id)"""
 
 
@@ -106,8 +108,8 @@ _SECTIONS = """
     SELECT 'total' AS section, 'all' AS key, count(*) AS reports FROM rep
     UNION ALL SELECT 'by_type', 'report_incorrect', count(*) FILTER (event_type = 'report_incorrect') FROM rep
     UNION ALL SELECT 'by_type', 'report_expired', count(*) FILTER (event_type = 'report_expired') FROM rep
-    UNION ALL SELECT 'by_source', source, CAST(sum(n) AS BIGINT) FROM det WHERE source IS NOT NULL GROUP BY source
-    UNION ALL SELECT 'by_city', city, CAST(sum(n) AS BIGINT) FROM det WHERE city IS NOT NULL GROUP BY city
+    UNION ALL SELECT 'by_source', source, CAST(sum(n) AS BIGINT) FROM everywhere WHERE source IS NOT NULL GROUP BY source
+    UNION ALL SELECT 'by_city', city, CAST(sum(n) AS BIGINT) FROM everywhere WHERE city IS NOT NULL GROUP BY city
     UNION ALL SELECT 'deal', CAST(deal_id AS VARCHAR), n FROM det"""
 
 

@@ -186,13 +186,15 @@ def total_matches(t):
     return q.total_matches(q.filter_deals(t.deals, location="online", min_discount=30.0))
 
 
-_BOX = geo.box(LAT, LON, 20000 * geo.METERS_TO_MILES)
+# 20 km around the point, from the radius of the earth in km alone.
+_REACH = f"degrees(20.0 / 6371.0088)"
+_WIDE = f"degrees(asin(sin(20.0 / 6371.0088) / cos(radians({LAT!r}))))"
 
 
 @query(
     f"""SELECT d.id, d.title, d.merchant FROM deals d JOIN cities c ON c.id = d.city_id
     WHERE d.is_active AND (title ILIKE '%menu%' OR description ILIKE '%menu%' OR merchant ILIKE '%diner 12%') AND c.slug ILIKE '%nation%'
-      AND lat BETWEEN {_BOX[0]!r} AND {_BOX[1]!r} AND lon BETWEEN {_BOX[2]!r} AND {_BOX[3]!r}"""
+      AND abs(lat - ({LAT!r})) <= {_REACH} AND abs(lon - ({LON!r})) <= {_WIDE}"""
 )
 def search_deals(t):
     menus = q.search_deals(t.deals, t.cities, q="menu", city="nation", lat=LAT, lon=LON, radius_m=20000.0)

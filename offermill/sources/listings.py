@@ -26,7 +26,6 @@ BUSINESS_CATEGORIES = {
 DEFAULT_CATEGORY = "restaurant"
 PRICE_SYMBOLS = {1: "$", 2: "$$", 3: "$$$", 4: "$$$$"}
 FORUM_HOST = "https://www.reddit.com"
-FETCH_LIMIT = 100
 # ----------------------------------------------------------------------------------
 
 LISTING = [
@@ -49,7 +48,7 @@ def wall_clock(iso: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(iso, r"(Z|[+-]\d{2}:?\d{2})$", ""))
 
 
-def read_flat_json(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
+def read_flat_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of listing objects; a missing file gives no rows."""
     try:
         rows = spark.read.schema(FLAT_JSON).option("multiLine", True).json(path)
@@ -64,7 +63,7 @@ def read_flat_json(spark: SparkSession, path: str, *, limit: int | None = None)
         expires_at=wall_clock(c("expires_at")),
         raw_data=F.coalesce("raw_data", F.lit("{}")),
     )
-    return out if limit is None else out.limit(limit)
+    return out
 
 
 def _nested(spark: SparkSession, path: str, list_name: str, fields: str, city: str | None) -> DataFrame:
@@ -172,7 +171,7 @@ def available_cities(spark: SparkSession, *paths: str) -> DataFrame:
     return reduce(DataFrame.unionByName, docs).distinct().orderBy("city")
 
 
-def read_rss(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
+def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """RSS items.  The publication time stands in for the expiry, which feeds do not carry."""
     items = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
     c = F.col
@@ -190,10 +189,10 @@ def read_rss(spark: SparkSession, path: str, *, limit: int | None = None) -> Dat
         deal_price=F.coalesce(price.truthy(amount("title")), amount("summary")), expires_at=published,
         raw_data=F.to_json(F.struct(c("category").alias("tags"), F.coalesce("pubDate", F.lit("")).alias("published"))),
     )
-    return out if limit is None else out.limit(limit)
+    return out
 
 
-def read_forum_json(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
+def read_forum_json(spark: SparkSession, path: str) -> DataFrame:
     """Forum listings: stickied posts, self posts without a URL and blank titles are dropped."""
     posts = (
         spark.read.schema(FORUM_JSON).option("multiLine", True).json(path)
@@ -219,7 +218,7 @@ def read_forum_json(spark: SparkSession, path: str, *, limit: int | None = None)
             )
         ),
     )
-    return out if limit is None else out.limit(limit)
+    return out
 
 
 def union_sources(named: dict[str, DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from offermill.functions import geo
 from offermill.functions.scores import RankingConfig
 from offermill.operators import feedback, ingest, lifecycle, ranking, skew, validate
 from offermill.operators import query as q
@@ -188,6 +189,27 @@ def test_event_rules(spark):
 def test_page_order(spark):
     df = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.9), (4, 0.5)], "id long, rank_score double")
     assert [r.id for r in q.page(df, "bogus", limit=3, offset=1).collect()] == [1, 4, 2]
+    pairs = spark.createDataFrame([(2, 1, 70.0), (1, 9, 70.0), (1, 3, 70.0), (4, 5, 99.0)], "a_id long, b_id long, match_score double")
+    assert [(r.a_id, r.b_id) for r in q.page(pairs, "match_score", limit=3).collect()] == [(4, 5), (1, 3), (1, 9)]
+
+
+def test_blank_urls_are_no_duplicates(spark):
+    rows = [(1, 1, ""), (2, 2, ""), (3, 3, None), (4, 1, " "), (5, 1, "http://x/a?b"), (6, 2, "http://X/a/")]
+    deals = spark.createDataFrame([(*r, True, 0.5, None) for r in rows], "id long, source_id long, url string, is_active boolean, quality_score double, fetched_at timestamp")
+    out, stats = ingest.flag_url_duplicates(deals)
+    assert {r.id for r in out.collect() if not r.is_active} == {5}
+    assert tuple(stats.first()) == (6, 1)
+
+
+@pytest.mark.parametrize("lat,lon,miles", [(60.0, 10.0, 500.0), (10.0, 179.99, 50.0), (-5.0, -179.9, 400.0), (89.0, 0.0, 300.0)])
+def test_box_holds_the_circle(spark, lat, lon, miles):
+    ring = spark.range(720).select(
+        F.radians(F.lit(lat)).alias("y"), F.radians(F.lit(lon)).alias("x"), F.radians(F.col("id") / 2).alias("b"), F.lit(miles * 0.999999 / geo.EARTH_RADIUS_MILES).alias("r")
+    )
+    y = F.asin(F.sin("y") * F.cos("r") + F.cos("y") * F.sin("r") * F.cos("b"))
+    x = F.col("x") + F.atan2(F.sin("b") * F.sin("r") * F.cos("y"), F.cos("r") - F.sin("y") * F.sin(y))
+    points = ring.select(F.degrees(y).alias("lat"), (F.pmod(F.degrees(x) + 180, F.lit(360.0)) - 180).alias("lon"))
+    assert points.filter(~geo.in_box(F.col("lat"), F.col("lon"), geo.box(lat, lon, miles))).count() == 0
 
 
 def split_files(df, folder, parts):

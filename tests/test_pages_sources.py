@@ -145,7 +145,7 @@ def test_forum_feed(spark, tmp_path):
     rows = {r.source_deal_id: r for r in listings.read_forum_json(spark, str(path)).collect()}
     assert set(rows) == {"a", "e"}
     assert (rows["a"].deal_price, rows["a"].original_price, rows["e"].url) == (799.99, 1299.99, "https://www.reddit.com/r/x")
-    both = listings.union_sources({"one": listings.read_forum_json(spark, str(path)), "two": listings.read_forum_json(spark, str(path), limit=1)})
+    both = listings.union_sources({"one": listings.read_forum_json(spark, str(path)), "two": listings.read_forum_json(spark, str(path)).limit(1)})
     assert {r.source: r["count"] for r in both.groupBy("source").count().collect()} == {"one": 2, "two": 1}
 
 
