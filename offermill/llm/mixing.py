@@ -49,11 +49,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
     total = F.sum("_source_size").over(everything.orderBy(F.lit(1))).cast("double") * share
     level = (total - before) / left
     leveled = ranked.withColumn("_level", F.when(F.col("_cap").cast("double") / F.col("_w") >= level, level))
-    lowest = F.min("_level").over(everything.orderBy(F.lit(1)))
+    highest = F.max("_level").over(everything.orderBy(F.lit(1)))  # later sources would leave less
     return leveled.select(
         "_source",
         "_source_size",
-        F.least(F.col("_cap").cast("double"), F.coalesce(lowest, F.lit(0.0)) * F.col("_w")).alias("_target"),
+        F.least(F.col("_cap").cast("double"), F.coalesce(highest, F.lit(0.0)) * F.col("_w")).alias("_target"),
     )
 
 
@@ -160,7 +160,7 @@ WITH m_d AS (
             / (sum(w) OVER (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM m_w
 ), m_t AS (
-  SELECT source, source_size, least(cap::DOUBLE, (SELECT coalesce(min(level), 0.0) FROM m_l WHERE cap::DOUBLE / w >= level) * w) AS target FROM m_l
+  SELECT source, source_size, least(cap::DOUBLE, (SELECT coalesce(max(level), 0.0) FROM m_l WHERE cap::DOUBLE / w >= level) * w) AS target FROM m_l
 ), m_o AS (
   SELECT b.*, t.source_size, t.target,
          row_number() OVER (PARTITION BY b.source ORDER BY class, bucket, size, doc_id NULLS FIRST) AS upto,
