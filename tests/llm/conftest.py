@@ -1,0 +1,21 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from offermill.session import ensure_checkpoint_dir, local_session, ship_package  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session()
+    ship_package(session)
+    ensure_checkpoint_dir(session)
+    return session
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"
