@@ -18,10 +18,12 @@ With the expansion lengths a reader finds the symbols of any token range by a ru
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ BLOCK_TOKENS = 2_000_000
 ROUNDS = 4
 RULES_PER_ROUND = 3500
 MIN_COUNT = 8
-CACHED = 400_000
+CACHED = 700_000
 
 BLOCK_KIND = (
     "shard int, block int, n_docs long, n_tokens long, ids binary, known binary, counts binary, bounds binary, base long, "
@@ -50,36 +52,73 @@ BLOCK_KIND = (
 
 # A single space between two visible characters always begins a new piece, so both sides can be encoded apart.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which opens contractions
+JOINED = 1000
 
 
 class Encoder:
-    """Ids of whole texts; words are encoded once and remembered in two generations of bounded size."""
+    """Ids of whole texts.  A word after a single space is encoded once and remembered, in two generations of bounded size."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of a space and each word.  Words of visible characters go in long runs that are cut at their spaces."""
+        plain, tailed = [], []
+        for word in words:
+            if len(word.split()) == 1 and not (word[0].isspace() or word[-1].isspace()):
+                head = word.rstrip(_MARKS)
+                (tailed if head != word and head.isalpha() else plain).append(word)
+        # Letters and the marks behind them are pieces of their own, so words share the ids of their letters.
+        heads = {w.rstrip(_MARKS) for w in tailed} - self.young.keys()
+        marks = list({w[len(w.rstrip(_MARKS)):] for w in tailed} - self.marks.keys())
+        self.marks.update(zip(marks, [i.tobytes() for i in self._ids(marks)]))
+        plain.extend(heads.difference(plain))
+        runs = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        for run, ids in zip(runs, self._ids([" " + " ".join(r) for r in runs])):
+            data, at = ids.tobytes(), (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
+            self.young.update(zip(run, [data[i:j] for i, j in zip(at, at[1:])]))
+        for word in tailed:
+            head = word.rstrip(_MARKS)
+            self.young[word] = self.young[head] + self.marks[word[len(head):]]
+        inner = [w for w in words if len(w.split()) > 1 and not (w[0].isspace() or w[-1].isspace())]
+        self.young.update(zip(inner, [i.tobytes() for i in self._ids([" " + w for w in inner])]))
+        # Words that touch further white space are never remembered: their texts are cut with more care.
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units = []
-        for text in texts:
-            parts = _CUT.split(text)
-            parts[1:] = [" " + p for p in parts[1:]]
-            units.append(parts)
         if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        wanted = set().union(*units) - self.young.keys()
+            self.old, self.young, self.marks = self.young, {}, {}
+        split = [t.split(" ") for t in texts]
+        heads = self._ids([s[0] for s in split])
+        wanted = set().union(*(s[1:] for s in split)) - self.young.keys()
         known = wanted & self.old.keys()
-        for unit in known:
-            self.young[unit] = self.old[unit]
-        new = list(wanted - known)
-        for unit, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.young[unit] = np.array(found.ids, dtype="<u4").tobytes()
+        for word in known:
+            self.young[word] = self.old[word]
+        self._learn(list(wanted - known))
         get = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in units]
+        out = []
+        for text, head, parts in zip(texts, heads, split):
+            try:
+                if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+                    raise KeyError
+                out.append(np.frombuffer(head.tobytes() + b"".join(map(get, parts[1:])), dtype="<u4"))
+            except KeyError:
+                first, *rest = _CUT.split(text)
+                out.append(np.concatenate(self._ids([first, *(" " + r for r in rest)])))
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -108,14 +147,13 @@ def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
 
 
 def _positions(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``keys`` holds a chosen key, and which; a bit table spares most of the searches."""
-    shift = np.uint64(44)
-    spread = np.uint64(0x9E3779B97F4A7C15)
-    table = np.zeros(1 << 20, dtype=bool)
-    table[(chosen.astype(np.uint64) * spread) >> shift] = True
-    near = np.flatnonzero(table[(keys.astype(np.uint64) * spread) >> shift])
-    rank = np.searchsorted(chosen, keys[near])
-    rank[rank == len(chosen)] = 0
+    """Where ``keys`` holds a chosen key, and which.  Of chosen keys that share a slot one is left for a later round."""
+    shift, spread = np.uint64(44), np.uint64(0x9E3779B97F4A7C15)
+    table = np.full(1 << 20, -1, dtype=np.int32)
+    table[(chosen.astype(np.uint64) * spread) >> shift] = np.arange(len(chosen), dtype=np.int32)
+    rank = table[(keys.astype(np.uint64) * spread) >> shift]
+    near = np.flatnonzero(rank >= 0)
+    rank = rank[near]
     hit = chosen[rank] == keys[near]
     return near[hit], rank[hit]
 
@@ -197,7 +235,7 @@ class Block:
         out[inner] = self.lengths[symbols[inner].astype(np.int64) - self.base]
         return out
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+    def _levels(self, symbols: np.ndarray) -> np.ndarray:
         """All tokens of a run of symbols, one level of rules at a time."""
         out = symbols.astype(np.uint32)
         while len(out) and (inner := out >= self.base).any():
@@ -210,6 +248,21 @@ class Block:
             out = grown
         return out
 
+    @cached_property
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every symbol's tokens one after the other, and where each begins."""
+        rules = self._levels(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32))
+        begins = np.cumsum(self.lengths) - self.lengths
+        return np.concatenate([np.arange(self.base, dtype=np.uint32), rules]), np.concatenate([np.arange(self.base), self.base + begins])
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        flat, begins = self._flat
+        size = self._size(symbols)
+        ends = np.cumsum(size)
+        if not len(ends):
+            return np.zeros(0, dtype=np.uint32)
+        return flat[np.arange(ends[-1]) + np.repeat(begins[symbols] - (ends - size), size)]
+
     def tokens(self, place: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """Tokens ``lo`` to ``hi`` of one document of the block; only the symbols that cover them are expanded."""
         symbols = self.symbols[self.bounds[place]:self.bounds[place + 1]]
