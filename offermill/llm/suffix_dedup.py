@@ -56,7 +56,7 @@ class Segments:
     """Anchors of a run of texts and the windows that belong to each.
 
     ``doc``, ``anchor``, ``lo``, ``hi``: document, anchor, first and last window start (offsets in the document);
-    ``gram``: hash of the anchor's gram; ``whole``: hash of all bytes that the windows cover.
+    ``gram``: hash of the anchor's gram.
     """
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -91,11 +91,9 @@ class Segments:
         self.doc = np.searchsorted(bounds[1:], lo, side="right")
         self.anchor, self.lo, self.hi = anchor - base, lo - base, hi - base
         self.gram = mix((sums[anchor + gram] - sums[anchor]) * inverse[anchor])
-        size = (hi - lo + length).astype(np.uint64)
-        self.whole = mix(mix((sums[hi + length] - sums[lo]) * inverse[lo]) ^ (size << _U(20)) ^ (anchor - lo).astype(np.uint64))
 
 
-_SEGMENT = "g long, w int, d long, at int, lo int, hi int"
+_SEGMENT = "g long, d long, at int, back short, span short"
 
 
 def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +102,9 @@ def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in windows(batch.column("text")):
             s = Segments(*raw_texts(batch.column("text").slice(lo, hi - lo)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(s.gram.view(np.int64)), pa.array((s.whole >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(names[lo + s.doc]),
-                pa.array(s.anchor.astype(np.int32)), pa.array(s.lo.astype(np.int32)), pa.array(s.hi.astype(np.int32)),
-            ], ["g", "w", "d", "at", "lo", "hi"])
+                pa.array(s.gram.view(np.int64)), pa.array(names[lo + s.doc]), pa.array(s.anchor.astype(np.int32)),
+                pa.array((s.anchor - s.lo).astype(np.int16)), pa.array((s.hi - s.lo).astype(np.int16)),
+            ], ["g", "d", "at", "back", "span"])
 
 
 # ---- runs -------------------------------------------------------------------------------------------------------
@@ -246,12 +244,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         raws = batch.column("raw")
-        for i, (d, ats, los, his) in enumerate(zip(batch.column("d").to_pylist(), *(batch.column(c).to_pylist() for c in ("ats", "los", "his")))):
+        for i, (d, ats, backs, spans) in enumerate(zip(batch.column("d").to_pylist(), *(batch.column(c).to_pylist() for c in ("ats", "backs", "spans")))):
             text = raws[i].as_buffer().to_pybytes()
-            for at, lo, hi in zip(ats, los, his):
-                suffix, left = text[at : hi + LENGTH], text[lo:at]
+            for at, back, span in zip(ats, backs, spans):
+                suffix, left = text[at : at - back + span + LENGTH], text[at - back : at]
                 bucket = zlib.crc32(suffix[:GRAM]) % BUCKETS
-                key = (suffix, left[::-1], hi - lo)
+                key = (suffix, left[::-1], span)
                 found = entries.setdefault(bucket, {}).setdefault(key, [])
                 if not found:
                     size += len(suffix) + len(left)
@@ -405,14 +403,14 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     segments = rows.select("d", F.col("raw").cast("string").alias("text")).mapInArrow(_segmented, _SEGMENT)
     grams = segments.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
     shared = segments.join(grams, "g")
-    wanted = cut_lineage(shared.groupBy("d").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("s")).select(
-        "d", F.col("s.at").alias("ats"), F.col("s.lo").alias("los"), F.col("s.hi").alias("his")
+    wanted = cut_lineage(shared.groupBy("d").agg(F.collect_set(F.struct("at", "back", "span")).alias("s")).select(
+        "d", F.col("s.at").alias("ats"), F.col("s.back").alias("backs"), F.col("s.span").alias("spans")
     ))
     # Every row of a text that repeats is an occurrence of its own, so rows are not made distinct here.
     path = scratch(spark, "suffixes")
     ready = rows.select("d", "raw").join(_sized(wanted.select("d")), "d", "left_semi").join(wanted, "d")
     kind = f"{_RUN_KIND}, places array<int>, ds array<long>, ats array<int>"
-    ready.mapInArrow(_runs, kind).write.parquet(path)
+    ready.mapInArrow(_runs, kind).write.option("compression", "zstd").parquet(path)
     runs = spark.read.parquet(path)
     columns = ["run", "bucket", "shared", "sizes", "rests", "lefts", "left_sizes", "spans", "counts"]
     found = runs.select(columns).repartition("bucket").sortWithinPartitions("bucket", "run").mapInArrow(
