@@ -181,6 +181,20 @@ def test_passages(spark, sf):
     assert passages.repeats(frame(spark, [])).count() == 0
 
 
+def test_passages_around_another_middle(spark):
+    """Two exact passages in one order with different words between them are found both."""
+    r = random.Random(8)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, wanted = [], {}
+    for size, middle in [(55, 50), (60, 100), (100, 100), (100, 200), (300, 300), (300, 500)] * 3:
+        head, tail = fresh(size), fresh(size)
+        for _ in range(2):
+            wanted[len(rows)] = {*range(size), *range(size + middle, 2 * size + middle)}
+            rows.append((len(rows), " ".join(head + fresh(middle) + tail)))
+    got = spans_of(passages.repeats(frame(spark, rows)))
+    assert [d for d, places in wanted.items() if not got[d] >= places] == []
+
+
 # ---- suffixes
 
 
