@@ -195,6 +195,23 @@ def test_passages_around_another_middle(spark):
     assert [d for d, places in wanted.items() if not got[d] >= places] == []
 
 
+def test_passages_among_many_quotations(spark):
+    """Documents that hold a passage whole find each other though most holders of each of its seeds quote a part."""
+    r = random.Random(4)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, wanted = [], {}
+    for case in range(5):
+        passage, whole = fresh(60), set(r.sample(range(400), 4))
+        for i in range(400):
+            at = r.randrange(31)
+            before, part = fresh(r.randrange(20)), passage if i in whole else passage[at:at + 30]
+            if i in whole:
+                wanted[len(rows)] = set(range(len(before), len(before) + 60))
+            rows.append((len(rows), " ".join(before + part + fresh(20))))
+    got = spans_of(passages.repeats(frame(spark, rows)))
+    assert [d for d, places in wanted.items() if not got[d] >= places] == []
+
+
 # ---- suffixes
 
 
