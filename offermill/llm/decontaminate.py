@@ -1,14 +1,14 @@
-"""Benchmark decontamination by SimHash over windows of the items' sizes.
+"""Benchmark decontamination: SimHash of windows of the items' sizes, candidates by shared shingles.
 
 A document holds an item when some window of as many words as the item has a weighted 5-word shingle similarity of
-0.75 or more with it.  A window without any shingle of an item of its size has similarity 0, and the best window of a
-document begins at such a shingle (moving a window right to its first one loses none), so these windows alone get a
-fingerprint, for each item size one.
-
-Fingerprints are 64-bit SimHashes of the words, each word as heavy as it is frequent.  A multi-index finds all
-item fingerprints within ``RADIUS`` = 15 bits: two such fingerprints differ in 3 bits at most in one of four 16-bit
-blocks, so items are listed under every such value of every block.  Candidates are decided by the exact similarity of
-the two shingle multisets, sum of minima over sum of maxima.
+0.75 or more with it.  A window without any shingle of the item has similarity 0, and the best window of a document
+begins at such a shingle (moving a window right to its first one loses none), so these windows alone are tried.
+
+A window that similar shares three quarters of the item's shingles or more, so documents in which fewer places hold
+shingles of the item are left out before any window is made.  No candidate is ruled out by its fingerprint: at 0.75,
+SimHashes may differ in more bits than an index can look up.  The 64-bit SimHash of the words, each word as heavy as it
+is frequent, only gives the distance that is reported.  Candidates are decided by the exact similarity of the two
+shingle multisets, sum of minima over sum of maxima.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 WIDTH = 5
 PERCENT = 75
+# The former multi-index; nothing is decided by it any more, a test still reads it.
 BLOCKS = 4
 BLOCK_BITS = 16
 BLOCK_RADIUS = 3
@@ -61,10 +64,6 @@ def simhash(hashes: str) -> Column:
     return F.expr(f"element_at(transform(array({sums}), s -> {bits}), 1)")
 
 
-def _block(fingerprint: str, number: str) -> Column:
-    return F.expr(f"shiftrightunsigned({fingerprint}, {number} * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}")
-
-
 def _tagged(words: str, k: str) -> Column:
     """Shingles with their number of occurrence, so that set operations respect multiplicity."""
     shingles = f"transform(sequence(0, size({words}) - {k}), i -> array_join(slice({words}, i + 1, {k}), ' '))"
@@ -75,7 +74,8 @@ def _tagged(words: str, k: str) -> Column:
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     items = _with_words(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), F.col("text"))
-    return items.filter("n > 0").withColumn("k", F.least("n", F.lit(WIDTH))).drop("text")
+    items = items.filter("n > 0").withColumn("k", F.least("n", F.lit(WIDTH))).drop("text")
+    return items.withColumn("item_key", F.xxhash64("item_id", "words")).dropDuplicates(["item_key"])
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -84,24 +84,28 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, start, size, window): the words of every window that begins at a shingle of an item of its size."""
+    """(doc_id, text_hash, start, item_key, window): every window of a size of an item that begins at a shingle of this
+    item, in documents with enough of its shingles."""
     base = _with_words(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), F.col("text")
     ).drop("text")
     out = None
     for (k,) in sorted(tuple(r) for r in items.select("k").distinct().collect()):  # 1 to 5
         wanted = items.filter(F.col("k") == k)
-        anchors = _sized(wanted.select(F.explode(_shingle_hashes(k)).alias("shingle"), F.col("n").alias("size")).distinct())
-        placed = base.filter(F.col("n") >= k).select("doc_id", "text_hash", "words", "n", F.posexplode(_shingle_hashes(k)).alias("at", "shingle"))
+        anchors = _sized(wanted.select(F.explode(_shingle_hashes(k)).alias("shingle"), F.col("n").alias("size"), "item_key").distinct())
+        placed = base.filter(F.col("n") >= k).select("doc_id", "text_hash", "n", F.posexplode(_shingle_hashes(k)).alias("at", "shingle"))
         start = F.least(F.col("at"), F.greatest(F.lit(0), F.col("n") - F.col("size")))
-        found = placed.join(anchors, "shingle").select("doc_id", "text_hash", "words", start.alias("start"), "size").select(
-            "doc_id", "text_hash", "start", "size", F.expr("slice(words, start + 1, size)").alias("window")
-        )
+        met = placed.join(anchors, "shingle").groupBy("doc_id", "text_hash", "item_key", "size").agg(F.count(F.lit(1)).alias("places"), F.collect_set(start).alias("starts"))
+        found = met.filter(F.col("places") * 100 >= (F.col("size") - k + 1) * PERCENT).select("doc_id", "text_hash", "item_key", "size", "starts")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        empty = "doc_id, text_hash, 0 AS start, 0 AS size, words AS window"
-        return base.selectExpr(*empty.split(", ")).limit(0)
-    return out.distinct()
+        return base.selectExpr("doc_id", "text_hash", "0 AS start", "0L AS item_key", "words AS window").limit(0)
+    pairs = _sized(cut_lineage(out))
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash"))
+    held = base.select("doc_id", "text_hash", "words").alias("d").join(pairs.alias("p"), same)
+    return held.select("d.doc_id", "d.text_hash", "d.words", "p.item_key", "p.size", F.explode("p.starts").alias("start")).select(
+        "doc_id", "text_hash", "start", "item_key", F.expr("slice(words, start + 1, size)").alias("window")
+    )
 
 
 def matches(
@@ -116,33 +120,15 @@ def matches(
     empty, there are no rows.
     """
     items = _items(benchmark, item_col, item_text_col)
-    prints = items.select("item_id", "k", F.col("n").alias("size"), F.col("words").alias("item_words"), simhash("word_hashes").alias("item_print"))
+    prints = items.select("item_key", "item_id", "k", F.col("words").alias("item_words"), simhash("word_hashes").alias("item_print"))
     windows = _windows(docs, items, id_col, text_col)
-    windows = windows.withColumn("hashes", F.expr("transform(window, w -> xxhash64(w))")).withColumn("print", simhash("hashes")).drop("hashes")
-
-    masks = F.array(*[F.lit(m).cast("long") for m in MASKS])
-    numbers = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    index = (
-        prints.select("item_id", "size", "item_print", F.explode(numbers).alias("block"))
-        .withColumn("mask", F.explode(masks))
-        .select("item_id", "size", "item_print", "block", _block("item_print", "block").bitwiseXOR(F.col("mask")).alias("value"))
-    )
-    asked = windows.withColumn("block", F.explode(numbers)).withColumn("value", _block("print", "block"))
-    differ = F.col("print").bitwiseXOR(F.col("item_print"))
-    met = asked.join(index, ["size", "block", "value"]).withColumn("differ", differ)
-    # A pair may meet in several blocks: it counts in the first.
-    first = F.expr(
-        f"element_at(filter(sequence(0, {BLOCKS - 1}), b -> bit_count(shiftrightunsigned(differ, b * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}) <= {BLOCK_RADIUS}), 1)"
-    )
-    near = met.filter((F.bit_count("differ") <= RADIUS) & (F.col("block") == first))
-    same = F.col("p.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("p.item_print") == F.col("i.item_print"))
-    pairs = near.select("doc_id", "text_hash", "start", "window", "item_id", "item_print", F.bit_count("differ").alias("hamming")).alias("p").join(
-        prints.alias("i"), same
-    ).select("p.doc_id", "p.text_hash", "p.start", "p.window", "p.item_id", "p.hamming", "i.k", "i.item_words")
+    windows = windows.withColumn("hashes", F.expr("transform(window, w -> xxhash64(w))"))
+    pairs = windows.join(_sized(prints), "item_key")
     ready = pairs.filter(F.size("window") >= F.col("k")).withColumn("a", _tagged("window", "k")).withColumn("b", _tagged("item_words", "k"))
     common = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - F.col("common")
     scored = ready.withColumn("common", common).withColumn("union", union).filter(F.col("common") * 100 >= F.col("union") * PERCENT)
+    scored = scored.withColumn("hamming", F.bit_count(simhash("hashes").bitwiseXOR(F.col("item_print"))))
     best = F.max(F.struct((F.col("common") / F.col("union")).alias("similarity"), (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"), F.size("window").alias("n_words")))
     return scored.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("m")).select(
         "doc_id", "text_hash", "item_id", "m.similarity", (-F.col("m.h")).alias("hamming"), (-F.col("m.s")).alias("start"), "m.n_words"

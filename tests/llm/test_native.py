@@ -120,6 +120,20 @@ def test_decontamination(spark, sf):
     assert got == pytest.approx(brute.item_matches(docs, items))
 
 
+def test_decontamination_at_the_threshold(spark):
+    """Items that lack as many words at one end as the threshold allows are all found."""
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    docs, items = [], []
+    for size, lost in [(39, 5), (60, 8), (100, 13), (200, 28)] * 100:
+        w = fresh(size)
+        items.append((len(items), " ".join(w)))
+        docs.append((len(docs), " ".join(fresh(9) + w[:-lost] + fresh(lost + 9))))
+    found = decontaminate.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(x.doc_id, x.item_id): x.similarity for x in found.collect()}
+    assert set(got) == {(i, i) for i in range(len(items))} and min(got.values()) == 0.75
+
+
 def test_decontamination_plan(spark, sf):
     found = decontaminate.matches(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark")))
     assert native(found)
