@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, factorization, jaccard_join, mixing, passages, recurrent_lm, suffix_dedup, token_files
+from . import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    factorization,
+    jaccard_join,
+    mixing,
+    passages,
+    piece_table,
+    recurrent_lm,
+    suffix_dedup,
+    token_files,
+)
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -65,3 +77,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query(piece_table.ORACLE)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.restored(piece_table.transformed(table(spark, sf_dir, "documents")), keep_text=False)
