@@ -57,14 +57,18 @@ JOINED = 1000
 
 
 class Encoder:
-    """Ids of whole texts.  A word after a single space is encoded once and remembered, in two generations of bounded size."""
+    """Ids of whole texts, as the tokenizer gives them without special tokens of its own.
+
+    A word after a single space is encoded once and remembered, in two generations of bounded size.  A special token that
+    is written out in a text has its own id and cuts the text at both ends, so such texts go to the tokenizer whole.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that begin with a space
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -101,7 +105,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.young) > CACHED:
             self.old, self.young, self.marks = self.young, {}, {}
-        split = [t.split(" ") for t in texts]
+        whole = [any(s in t for s in self.specials) for t in texts]
+        special = iter(self._ids([t for t, w in zip(texts, whole) if w]))
+        split = [[""] if w else t.split(" ") for t, w in zip(texts, whole)]
         heads = self._ids([s[0] for s in split])
         wanted = set().union(*(s[1:] for s in split)) - self.young.keys()
         known = wanted & self.old.keys()
@@ -110,7 +116,10 @@ class Encoder:
         self._learn(list(wanted - known))
         get = self.young.__getitem__
         out = []
-        for text, head, parts in zip(texts, heads, split):
+        for text, head, parts, direct in zip(texts, heads, split, whole):
+            if direct:
+                out.append(next(special))
+                continue
             try:
                 if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
                     raise KeyError

@@ -35,7 +35,6 @@ def small(spark, sf, n=None):
 
 def test_encoder_equals_the_tokenizer():
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     encoder = token_files.Encoder(open(PATH).read())
     r = random.Random(1)
     parts = ["a", "b", " ", "  ", "\n", " ", "!", "...", "é", "1", "'s", "\t", "\x1c", "word", " ", "<|endoftext|>", "🙂"]
@@ -64,7 +63,6 @@ def test_token_files(spark, sf):
     rows = small(spark, sf) + [(1000 + (i or 0), t) for i, t in ODD] + [(None, "zz"), (5, "again")]
     got = token_files.encoded(frame(spark, rows), PATH, block_tokens=5000).toPandas()
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
     ids = [e.ids + [0] for e in plain.encode_batch([t or "" for _, t in ordered], add_special_tokens=False)]
     starts = np.cumsum([0] + [len(i) for i in ids])[:-1]
