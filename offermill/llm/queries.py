@@ -10,6 +10,7 @@ from . import (
     decontaminate,
     exact_dedup,
     factorization,
+    harmonic,
     jaccard_join,
     mixing,
     passages,
@@ -79,6 +80,11 @@ def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.scores(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pieces(harmonic.sequences(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
 @query(piece_table.ORACLE)
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.restored(piece_table.transformed(table(spark, sf_dir, "documents")), keep_text=False)
