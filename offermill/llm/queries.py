@@ -16,6 +16,7 @@ from . import (
     passages,
     piece_table,
     recurrent_lm,
+    segment_trees,
     suffix_dedup,
     token_files,
 )
@@ -80,6 +81,11 @@ def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.scores(table(spark, sf_dir, "documents"))
 
 
+@query(segment_trees.ORACLE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_trees.audit(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pieces(harmonic.sequences(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
