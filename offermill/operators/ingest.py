@@ -188,23 +188,25 @@ def flag_url_duplicates(deals: DataFrame, new_ids: DataFrame | None = None) -> t
     Best is the highest quality (unknown counts 0), then the newest.  With ``new_ids`` only
     URLs of new deals are looked at; deals without a URL have no partner.  -> (next table, one row of checked and flagged).
     """
+    canonical = hashing.canonical_url(F.col("url"))
     active = deals.filter("is_active").select(
-        "id", "source_id", "quality_score", "fetched_at", hashing.url_fingerprint(F.col("url")).alias("_fp"),
-        (hashing.canonical_url(F.col("url")) != "").alias("_named"),
+        "id", "source_id", "quality_score", "fetched_at", F.when(canonical != "", hashing.url_fingerprint(F.col("url"))).alias("_fp")
     )
     checked = active if new_ids is None else active.join(new_ids.select("id"), "id", "left_semi")
-    active = active.filter("_fp IS NOT NULL AND _named")
+    active = active.filter("_fp IS NOT NULL")
     if new_ids is not None:
         active = active.join(checked.select("_fp").distinct(), "_fp", "left_semi")
     better = F.struct(F.coalesce("quality_score", F.lit(0.0)), F.col("fetched_at"), F.col("id"))
     groups = (
         active.groupBy("_fp")
-        .agg(F.max_by("source_id", better).alias("_winner"), F.min("source_id").alias("_a"), F.max("source_id").alias("_b"))
+        .agg(
+            F.max_by("source_id", better).alias("_winner"), F.min("source_id").alias("_a"), F.max("source_id").alias("_b"),
+            F.count(F.lit(1)).alias("_n"),
+        )
         .filter(F.col("_a") != F.col("_b"))
-        .select("_fp", "_winner")
     )
     losers = (
-        salted_join(active, groups, ["_fp"], F.col("id"))
+        salted_join(active, groups.select("_fp", "_winner"), ["_fp"], F.col("id"), counts=groups.select("_fp", "_n"))
         .filter(F.col("source_id") != F.col("_winner"))
         .select("id", F.lit(True).alias("_flagged"))
     )

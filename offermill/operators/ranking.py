@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, schedule, scores
 from ..functions.scores import FEATURES, RankingConfig
-from .skew import ROWS_PER_TASK, salted_join
+from .skew import salted_join
 
 
 def rank_stored(deals: DataFrame, now: str, categories: list[str] | None = None) -> DataFrame:
@@ -185,13 +185,14 @@ def nearby(
 
 
 def within_radius(
-    points: DataFrame, deals: DataFrame, *, max_radius_m: float, rows_per_task: int = ROWS_PER_TASK
+    points: DataFrame, deals: DataFrame, *, max_radius_m: float, rows_per_task: int | None = None
 ) -> DataFrame:
     """Points (query_id, q_lat, q_lon, radius_m) joined with every deal inside their circle.
 
     Both sides meet on grid cells of about the largest radius: a deal lies in one cell, a
-    point is sent to the few cells its circle touches.  Crowded cells are cut into parts.
-    A small table of points is broadcast by Spark, and the deals are not shuffled at all.
+    point is sent to the few cells its circle touches.  A small table of points is broadcast
+    by Spark, and the deals are not shuffled at all.  For a table of points too large for
+    that, ``rows_per_task`` has the cells counted first and crowded ones cut into parts.
     ``max_radius_m`` only sets the cell size; larger radii stay correct.
     """
     size = max(max_radius_m * geo.METERS_TO_MILES / geo.MILES_PER_DEGREE, 1e-3)
@@ -201,7 +202,10 @@ def within_radius(
     ).select("*", F.explode(geo.lon_span(F.col("q_lat"), F.col("q_lon"), miles, size)).alias("_cx"))
     placed = deals.withColumns({"_cy": geo.cell(F.col("lat"), size), "_cx": geo.lon_cell(F.col("lon"), size)})
     distance = geo.miles_between(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
-    joined = salted_join(placed, cells, ["_cy", "_cx"], F.col("id"), rows_per_task=rows_per_task)
+    if rows_per_task is None:
+        joined = placed.join(cells, ["_cy", "_cx"])
+    else:
+        joined = salted_join(placed, cells, ["_cy", "_cx"], F.col("id"), rows_per_task=rows_per_task)
     return (
         joined.withColumn("distance_miles", distance)
         .filter(F.col("distance_miles") <= miles)
@@ -219,7 +223,7 @@ def nearby_batch(
     max_radius_m: float,
     top: int,
     open_now: bool | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
     config: RankingConfig = RankingConfig(),
 ) -> DataFrame:
     """The ranked geo query for a table of points (query_id, q_lat, q_lon, radius_m,

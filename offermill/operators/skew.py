@@ -17,14 +17,15 @@ def work_partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int, counts: DataFrame | None = None) -> DataFrame:
     """Keys with more rows than one task should take, and the number of parts to cut them into.
 
     There are at most ``rows / rows_per_task`` of them, so the result is always small
     enough to broadcast.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
-    return counts.select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > rows_per_task).select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
 
 
 def salted_join(
@@ -36,13 +37,15 @@ def salted_join(
     condition: Column | None = None,
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which only hot keys of ``big`` are cut into parts.
 
     Rows of a hot key are spread over parts by a hash of ``spread_by``; the matching rows
-    of ``small`` are repeated once per part.  All other keys join as they are.
+    of ``small`` are repeated once per part.  All other keys join as they are.  ``counts``
+    (the keys and ``_n``, rows per key) spares the counting where an earlier pass has them.
     """
-    hot = F.broadcast(hot_keys(big, keys, rows_per_task))
+    hot = F.broadcast(hot_keys(big, keys, rows_per_task, counts))
     left = big.join(hot, keys, "left").withColumn(
         "_part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts").cast("long")), F.lit(0).cast("long"))
     )

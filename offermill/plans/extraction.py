@@ -74,7 +74,7 @@ PARSED = rf"""
 @query(f"WITH {PARSED} SELECT seq, deal_type, days, start_time, end_time, price, lo, hi FROM final")
 def parse_listing_text(t):
     body = F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))
-    parsed = t.listings.withColumn("t", body).select(
+    parsed = t.spread(t.listings).withColumn("t", body).select(
         "seq", text.offer_type(F.col("t")).alias("deal_type"),
         schedule.expand_days(schedule.detect_days(F.col("t"))).alias("days"),
         schedule.parse_time_range(F.col("t")).alias("w"), price.parse_price(F.col("t"), F.col("deal_price")).alias("p"),
@@ -99,7 +99,7 @@ _NORMAL_SQL = """seq, dedup_key, substr(sha256('feed:' || source_deal_id), 1, 16
 
 def _normal(dedup):
     def run(t):
-        return normalize.normalize_listings(PROVENANCE, t.listings, dedup=dedup)
+        return normalize.normalize_listings(PROVENANCE, t.spread(t.listings), dedup=dedup)
 
     return run
 
@@ -156,7 +156,7 @@ _RULED_SQL = rf"""WITH {PARSED},
 
 def _blocks(t):
     body = F.concat_ws("\n", "title", "description")
-    return t.listings.select("seq", F.col("source_deal_id").alias("block_id"), body.alias("text"), F.col("url").alias("source_url"))
+    return t.spread(t.listings).select("seq", F.col("source_deal_id").alias("block_id"), body.alias("text"), F.col("url").alias("source_url"))
 
 
 def _candidates(df):
@@ -274,7 +274,7 @@ def _decoded(column: str) -> str:
 )
 def page_blocks(t):
     """Blocks of the web pages, whose only headings are h1."""
-    blocks = html.pages_to_blocks(t.base("pages"), "blog_listing", ("h1",))
+    blocks = html.pages_to_blocks(t.spread(t.base("pages")), "blog_listing", ("h1",))
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     return blocks.select(
         "page_id", "source_url", "position", "block_count", "html_context", "block_type",
@@ -293,7 +293,7 @@ _AD = r"""regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)"""
 def page_menu_blocks(t):
     """The advert box of every page, marked as a specials section."""
     marked = F.replace("html", F.lit('class="ad"'), F.lit('class="happy-hour ad"'))
-    blocks = html.pages_to_blocks(t.base("pages").withColumn("html", marked), "menu_page")
+    blocks = html.pages_to_blocks(t.spread(t.base("pages")).withColumn("html", marked), "menu_page")
     return blocks.select("page_id", "source_url", "position", "block_count", "html_context", "block_type", "text")
 
 
@@ -312,14 +312,14 @@ _REST = "replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?
 def page_listings(t):
     """The page headings as listings; h1 is read as h2, the level of an item."""
     markup = F.replace(F.replace("html", F.lit("<h1>"), F.lit("<h2>")), F.lit("</h1>"), F.lit("</h2>"))
-    pages = t.base("pages").select(F.col("page_id").cast("string").alias("stem"), "url", markup.alias("html"))
+    pages = t.spread(t.base("pages")).select(F.col("page_id").cast("string").alias("stem"), "url", markup.alias("html"))
     return html.pages_to_listings(pages).select("source_deal_id", "title", "url", "description")
 
 
 @query()
 def page_candidates(t):
     """Pages to validated candidates, with the blocks of each page counted."""
-    blocks = html.pages_to_blocks(t.base("pages"), "blog_listing", ("h1",))
+    blocks = html.pages_to_blocks(t.spread(t.base("pages")), "blog_listing", ("h1",))
     return extract.extract_candidates(blocks).select(
         "page_id", "position", "block_count", "deal_type", joined("schedule_days"), "start_time", "end_time", "price",
         joined("items_included"), joined("restrictions"), "confidence", joined("validation_errors"),
@@ -329,7 +329,7 @@ def page_candidates(t):
 @query()
 def page_offers(t):
     """Pages through scraping, extraction, normalization and de-duplication."""
-    blocks = html.pages_to_blocks(t.base("pages"), "blog_listing", ("h1",))
+    blocks = html.pages_to_blocks(t.spread(t.base("pages")), "blog_listing", ("h1",))
     found = extract.extract_candidates(blocks).withColumn("seq", F.col("page_id") * 1000 + F.col("position"))
     out = normalize.normalize_listings(PROVENANCE, candidates=found)
     return out.select("deal_id", "title", "deal_type", "price", joined("days", ""), "confidence", "quality_score", "dedup_key", "first_seq")
@@ -344,5 +344,5 @@ def page_offers(t):
     views=False,
 )
 def clean_documents(t):
-    cleaned = t.base("documents").select("doc_id", text.clean_text(F.col("text")).alias("t"))
+    cleaned = t.spread(t.base("documents")).select("doc_id", text.clean_text(F.col("text")).alias("t"))
     return cleaned.select("doc_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))

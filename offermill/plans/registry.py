@@ -26,6 +26,10 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows dealt over all cores for heavy work per row: a table of one row group is one task otherwise."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism)
+
 
 def query(oracle: str | None = None, *, views: bool = True):
     """Register ``fn(tables) -> DataFrame`` under its own name."""
