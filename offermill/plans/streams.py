@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..sources import tables
-from ..streaming import jobs
+from ..streaming import jobs, keyed
 from .extraction import _DISCOUNT_SQL, _INGEST_SQL
-from .ingestion import _RUNNING_SQL
+from .ingestion import _RUNNING_SQL, LATER
 from .registry import query
 from .views import NOW, VIEWS
 
@@ -61,3 +63,52 @@ def stream_ingest(t):
     jobs.stream_ingest(_stream(t, "orders", "listings"), root, 9, lambda batch: NOW).awaitTermination()
     out = tables.read_version(t.spark, root, "deals", 1)
     return out.select("source_deal_id", "category", F.round("deal_price", 6).alias("deal_price"), "discount_pct", "quality_score")
+
+
+# --- keyed state ------------------------------------------------------------------
+
+
+def _landed(t, folder: str, batches) -> Iterator[DataFrame]:
+    """Lands one batch after the other and gives the stream over all that has landed, for one start each."""
+    for number, batch in enumerate(batches):
+        batch.write.mode("overwrite").parquet(f"{folder}/landing={number}")
+        yield t.spark.readStream.schema(batch.schema).option("basePath", folder).parquet(f"{folder}/landing=*")
+
+
+@query(f"{_RUNNING_SQL} SELECT event_id, deal_id, n_incorrect, n_expired, n_incorrect >= 3 AS demote, n_expired >= 3 AS expire FROM running")
+def stream_late_reports(t):
+    """Reports of a month in three landings, a third of them a landing late; both queries start anew for each landing."""
+    root = tables.shared_folder(t.spark)
+    turn = F.least(F.floor((F.dayofmonth("created_at") - 1) / 10) + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0), F.lit(2))
+
+    events = t.event_log.select("event_id", "event_type", "deal_id", "created_at")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "created_at"]
+    last = events.agg((F.max("created_at") + F.expr("INTERVAL 60 DAYS")).alias("created_at")).select(*nothing, "created_at")
+    batches = [events.filter(turn == number) for number in range(3)] + [last]  # the last moves the watermark over the month
+    for stream in _landed(t, f"{root}/in", batches):
+        keyed.slice_reports(stream, root, slice_seconds=7 * 86_400, delay="12 days").awaitTermination()
+        keyed.report_actions(t.spark, root).awaitTermination()
+    out = t.spark.read.parquet(f"{root}/report_actions")
+    return out.select("event_id", "deal_id", "n_incorrect", "n_expired", "demote", "expire")
+
+
+@query(
+    f"""SELECT source_deal_id, seq, true AS changed FROM listings
+    UNION ALL SELECT source_deal_id, seq + {LATER}, seq % 10 = 0 FROM listings WHERE seq % 2 = 0
+    UNION ALL SELECT source_deal_id, seq + 2 * {LATER}, seq % 10 = 0 AND seq % 20 <> 0 FROM listings WHERE seq % 5 = 0"""
+)
+def stream_changes_there_and_back(t):
+    """Listings at price A; half of them again, a tenth at price B; a fifth again, half of the tenth back at A."""
+    root = tables.shared_folder(t.spark)
+
+    rows = t.listings.withColumn("source_id", F.col("seq") % 5)
+    repriced = lambda modulus: F.when(F.col("seq") % modulus == 0, F.lit(99.0)).otherwise(F.col("deal_price"))
+    batches = [
+        rows,
+        rows.filter("seq % 2 = 0").withColumn("deal_price", repriced(10)),
+        rows.filter("seq % 5 = 0").withColumn("deal_price", repriced(20)),
+    ]
+    for stream in _landed(t, f"{root}/in", batches):
+        hashed = ingest.with_payload(stream).withColumn("seq", F.col("seq") + F.col("landing").cast("long") * LATER)
+        keyed.changes(hashed, root).awaitTermination()
+    return t.spark.read.parquet(f"{root}/changes").select("source_deal_id", "seq", "changed")
