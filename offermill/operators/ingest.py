@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, hashing, price, scores, text
 from .normalize import ingest_fields
 from .ranking import rank_stored
-from .skew import previous_value, salted_join, side_by_side
+from .skew import previous_value, side_by_side
 
 KEY = ["source_id", "source_deal_id"]
 
@@ -199,14 +199,13 @@ def flag_url_duplicates(deals: DataFrame, new_ids: DataFrame | None = None) -> t
     better = F.struct(F.coalesce("quality_score", F.lit(0.0)), F.col("fetched_at"), F.col("id"))
     groups = (
         active.groupBy("_fp")
-        .agg(
-            F.max_by("source_id", better).alias("_winner"), F.min("source_id").alias("_a"), F.max("source_id").alias("_b"),
-            F.count(F.lit(1)).alias("_n"),
-        )
+        .agg(F.max_by("source_id", better).alias("_winner"), F.min("source_id").alias("_a"), F.max("source_id").alias("_b"))
         .filter(F.col("_a") != F.col("_b"))
+        .select("_fp", "_winner")
     )
+    # One row per URL on the right: a hot URL only makes a long left side, which adaptive execution splits.
     losers = (
-        salted_join(active, groups.select("_fp", "_winner"), ["_fp"], F.col("id"), counts=groups.select("_fp", "_n"))
+        active.join(groups, "_fp")
         .filter(F.col("source_id") != F.col("_winner"))
         .select("id", F.lit(True).alias("_flagged"))
     )
