@@ -182,15 +182,17 @@ def ingest_listings(
     }
 
 
-def flag_url_duplicates(deals: DataFrame, new_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Active deals of other sources behind the same canonical URL give way to the best one.
+def url_losers(deals: DataFrame, new_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """-> (id and key of the active deals that give way, the deals looked at).
 
-    Best is the highest quality (unknown counts 0), then the newest.  With ``new_ids`` only
-    URLs of new deals are looked at; deals without a URL have no partner.  -> (next table, one row of checked and flagged).
+    Behind one canonical URL the best deal stays with its source, those of other sources give way.  Best is the highest
+    quality (unknown counts 0), then the newest.  With ``new_ids`` only URLs of new deals are looked at; deals without a
+    URL have no partner.
     """
     canonical = hashing.canonical_url(F.col("url"))
+    named = [k for k in KEY if k in deals.columns and k != "source_id"]
     active = deals.filter("is_active").select(
-        "id", "source_id", "quality_score", "fetched_at", F.when(canonical != "", hashing.url_fingerprint(F.col("url"))).alias("_fp")
+        "id", "source_id", *named, "quality_score", "fetched_at", F.when(canonical != "", hashing.url_fingerprint(F.col("url"))).alias("_fp")
     )
     checked = active if new_ids is None else active.join(new_ids.select("id"), "id", "left_semi")
     active = active.filter("_fp IS NOT NULL")
@@ -204,14 +206,21 @@ def flag_url_duplicates(deals: DataFrame, new_ids: DataFrame | None = None) -> t
         .select("_fp", "_winner")
     )
     # One row per URL on the right: a hot URL only makes a long left side, which adaptive execution splits.
-    losers = (
-        active.join(groups, "_fp")
-        .filter(F.col("source_id") != F.col("_winner"))
-        .select("id", F.lit(True).alias("_flagged"))
-    )
+    losers = active.join(groups, "_fp").filter(F.col("source_id") != F.col("_winner"))
+    return losers.select("id", "source_id", *named), checked
+
+
+def deactivate_losers(deals: DataFrame, losers: DataFrame) -> DataFrame:
+    flagged = losers.select("id", F.lit(True).alias("_flagged"))
+    out = deals.join(flagged, "id", "left").withColumn("is_active", F.col("is_active") & F.col("_flagged").isNull())
+    return out.select(*deals.columns)
+
+
+def flag_url_duplicates(deals: DataFrame, new_ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``url_losers`` become inactive.  -> (next table, one row of checked and flagged)."""
+    losers, checked = url_losers(deals, new_ids)
     stats = side_by_side(checked.agg(F.count(F.lit(1)).alias("checked")), losers.agg(F.count(F.lit(1)).alias("flagged")))
-    following = deals.join(losers, "id", "left").withColumn("is_active", F.col("is_active") & F.col("_flagged").isNull())
-    return following.select(*deals.columns), stats
+    return deactivate_losers(deals, losers), stats
 
 
 # --- venue ingest -----------------------------------------------------------------

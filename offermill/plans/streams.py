@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..sources import tables
-from ..streaming import jobs, keyed
+from ..sources.store import Store
+from ..streaming import jobs, keyed, stored
 from .extraction import _DISCOUNT_SQL, _INGEST_SQL
 from .ingestion import _RUNNING_SQL, LATER
 from .registry import query
@@ -112,3 +114,54 @@ def stream_changes_there_and_back(t):
         hashed = ingest.with_payload(stream).withColumn("seq", F.col("seq") + F.col("landing").cast("long") * LATER)
         keyed.changes(hashed, root).awaitTermination()
     return t.spark.read.parquet(f"{root}/changes").select("source_deal_id", "seq", "changed")
+
+
+# --- bucketed store ---------------------------------------------------------------
+
+
+def _ingested(t) -> Store:
+    """Two thirds of the deals as version 0; the listings of the last third, then a tenth of all, as two batches."""
+    root = tables.shared_folder(t.spark)
+    store = Store(t.spark, root)
+    store.create({"deals": (t.deals.filter("id % 3 <> 0").withColumn("source_id", F.lit(9).cast("long")), ingest.KEY)}, buckets=16)
+    batches = [t.listings.filter("seq % 3 = 0"), t.listings.filter("seq % 10 = 0")]
+    for stream in _landed(t, f"{root}/in", batches):
+        listings = stream.select(batches[0].columns)
+        stored.stream_ingest(listings, root, 9, lambda batch: NOW).awaitTermination()
+    return store
+
+
+_VERSIONS_SQL = f"""WITH {_INGEST_SQL}, fresh AS (SELECT source_deal_id, seq, cat, round(deal, 6) AS deal, {_DISCOUNT_SQL.format(o="orig", d="deal")} AS disc, quality FROM ruled),
+    old AS (SELECT source_deal_id, id AS seq, category AS cat, round(deal_price, 6) AS deal, discount_pct AS disc, quality_score AS quality FROM deals)"""
+
+
+@query(
+    f"""{_VERSIONS_SQL} SELECT 0 AS version, * EXCLUDE (seq) FROM old WHERE seq % 3 <> 0
+    UNION ALL SELECT 1, * EXCLUDE (seq) FROM (SELECT * FROM old WHERE seq % 3 <> 0 UNION ALL SELECT * FROM fresh WHERE seq % 3 = 0)
+    UNION ALL SELECT 2, * EXCLUDE (seq) FROM (SELECT * FROM old WHERE seq % 3 <> 0 AND seq % 10 <> 0 UNION ALL SELECT * FROM fresh WHERE seq % 3 = 0 OR seq % 10 = 0)"""
+)
+def stream_ingest_versions(t):
+    """All three versions of the table, the old ones read after the last was written."""
+    store = _ingested(t)
+    return reduce(DataFrame.unionByName, [
+        store.read("deals", version).select(
+            F.lit(version).alias("version"), "source_deal_id", F.col("category").alias("cat"), F.round("deal_price", 6).alias("deal"),
+            F.col("discount_pct").alias("disc"), F.col("quality_score").alias("quality"),
+        )
+        for version in range(3)
+    ])
+
+
+@query("""SELECT CAST(1 AS INT) AS version, 'inserted' AS action, count(*) AS rows FROM listings WHERE seq % 3 = 0
+    UNION ALL SELECT 2, 'updated', count(*) FROM listings WHERE seq % 10 = 0
+    UNION ALL SELECT v, 'raw', count(*) FILTER (seq % CASE v WHEN 1 THEN 3 ELSE 10 END = 0) FROM listings, (VALUES (1), (2)) AS x(v) GROUP BY v
+    UNION ALL SELECT v, 'logged', count(*) FILTER (seq % CASE v WHEN 1 THEN 3 ELSE 10 END = 0) FROM listings, (VALUES (1), (2)) AS x(v) GROUP BY v""")
+def stream_ingest_logs(t):
+    """What the two batches appended: actions, raw rows, normalization log."""
+    store = _ingested(t)
+    parts = [
+        store.log("actions").select("version", "action"),
+        store.log("deals_raw").filter("length(content_hash) = 16 AND raw_payload IS NOT NULL").select("version", F.lit("raw").alias("action")),
+        store.log("normalization_log").select("version", F.lit("logged").alias("action")),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("version", "action").agg(F.count(F.lit(1)).alias("rows"))
