@@ -11,10 +11,10 @@ OFFER_JSON = """
   end_time string, url string>
 """
 
-FORUM_JSON = """
-  data struct<children: array<struct<data: struct<
+FORUM_POST = """
+  data struct<
     id string, title string, url string, selftext string, is_self boolean, stickied boolean,
-    score long, num_comments long, link_flair_text string, created_utc double, permalink string>>>>
+    score long, num_comments long, link_flair_text string, created_utc double, permalink string>
 """
 
 RSS_ITEM = "title string, link string, guid string, id string, description string, summary string, pubDate string, category array<string>"

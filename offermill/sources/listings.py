@@ -1,20 +1,20 @@
 """Feed readers: each gives flat listings, the nested ones also venues.
 
-``seq`` is the order of arrival inside one read.  JSON documents that hold a whole feed are
-read file by file; large feeds are expected as many files.
+``seq`` is the order of arrival inside one read: for JSON feeds the file and the position in it, whatever the
+partitioning.  A JSON document that holds a whole feed is read by as many tasks as it has segments (``json_parts``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import price, schedule, text
 from ..functions.text import blank_to_null, first_match
-from ..schemas import FLAT_JSON, FORUM_JSON, OFFER_JSON, RSS_ITEM
+from ..schemas import FLAT_JSON, FORUM_POST, OFFER_JSON, RSS_ITEM
+from .json_parts import FILE_BITS, POSITION_BITS, elements, sequence_number
 
 # --- fixed values -----------------------------------------------------------------
 BUSINESS_CATEGORIES = {
@@ -34,12 +34,12 @@ LISTING = [
 ]
 
 
-def _listing(df: DataFrame, **columns: Column) -> DataFrame:
+def _listing(df: DataFrame, seq: Column, **columns: Column) -> DataFrame:
     """Listing columns in their order; those not given are NULL."""
     kinds = {"original_price": "double", "deal_price": "double", "expires_at": "timestamp"}
     return df.select(
         *[columns[n].cast(kinds.get(n, "string")).alias(n) if n in columns else F.lit(None).cast(kinds.get(n, "string")).alias(n) for n in LISTING],
-        F.monotonically_increasing_id().alias("seq"),
+        seq.alias("seq"),
     )
 
 
@@ -50,37 +50,31 @@ def wall_clock(iso: Column) -> Column:
 
 def read_flat_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of listing objects; a missing file gives no rows."""
-    try:
-        rows = spark.read.schema(FLAT_JSON).option("multiLine", True).json(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        rows = spark.createDataFrame([], FLAT_JSON)
-    c = F.col
-    out = _listing(
-        rows,
-        **{n: c(n) for n in LISTING if n not in ("expires_at", "raw_data")},
-        expires_at=wall_clock(c("expires_at")),
-        raw_data=F.coalesce("raw_data", F.lit("{}")),
+    found = elements(spark, path, "$[*]").withColumn("d", F.from_json("element", FLAT_JSON.strip()))
+    return _listing(
+        found,
+        sequence_number(),
+        **{n: F.col(f"d.{n}") for n in LISTING if n not in ("expires_at", "raw_data")},
+        expires_at=wall_clock(F.col("d.expires_at")),
+        raw_data=F.coalesce("d.raw_data", F.lit("{}")),
     )
-    return out
 
 
 def _nested(spark: SparkSession, path: str, list_name: str, fields: str, city: str | None) -> DataFrame:
     """City documents -> one row per place.  Offers stay JSON text, so that an absent key and
     a NULL value can be told apart."""
-    kind = f"map<string,struct<{list_name}:array<struct<{fields}>>>>"
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("d"))
-    cities = docs.select(F.explode("d").alias("city_key", "_c"))
-    if city is not None:
-        cities = cities.filter(F.col("city_key") == F.replace(F.lower(F.lit(city)), F.lit(" "), F.lit("-")))
-    return cities.select("city_key", F.explode(f"_c.{list_name}").alias("p"))
+    places = elements(spark, path, f"$.*.{list_name}[*]").select(
+        "file_number", "position", F.col("captures")[0].alias("city_key"), F.from_json("element", f"struct<{fields.strip()}>").alias("p")
+    )
+    if city is None:
+        return places
+    return places.filter(F.col("city_key") == F.replace(F.lower(F.lit(city)), F.lit(" "), F.lit("-")))
 
 
 def _offer(df: DataFrame, id_key: str, offers: str) -> DataFrame:
     """One row per offer of a place: its fields, its raw text and the keys it has."""
     kind = OFFER_JSON.format(id=id_key).strip()
-    return df.select("*", F.explode(f"p.{offers}").alias("_raw")).select(
+    return df.select("*", F.posexplode(f"p.{offers}").alias("_at", "_raw")).select(
         "*", F.from_json("_raw", kind).alias("o"), F.json_object_keys("_raw").alias("_keys")
     )
 
@@ -117,13 +111,13 @@ def read_business_json(spark: SparkSession, path: str, city: str | None = None,
         c("p.coordinates.latitude").alias("lat"), c("p.coordinates.longitude").alias("lon"),
         F.coalesce(F.get(known, F.lit(0)), F.lit(DEFAULT_CATEGORY)).alias("category"), c("p.price").alias("price_range"),
         c("p.rating").alias("rating"), c("p.review_count").alias("review_count"), c("p.phone").alias("phone"),
-        c("p.url").alias("website"), c("p.image_url").alias("image_url"), "city_key", F.monotonically_increasing_id().alias("seq"),
+        c("p.url").alias("website"), c("p.image_url").alias("image_url"), "city_key", sequence_number().alias("seq"),
     )
     offers = _offer(places, "deal_id", "deals")
     # The business URL stands in only where the deal has no url key at all.
     url = F.when(F.array_contains("_keys", "url"), c("o.url")).otherwise(F.coalesce("p.url", F.lit("")))
     listings = _listing(
-        offers, source_deal_id=c("o.deal_id"), title=c("o.title"), url=url, description=c("o.description"), merchant=c("p.name"),
+        offers, sequence_number(c("_at")), source_deal_id=c("o.deal_id"), title=c("o.title"), url=url, description=c("o.description"), merchant=c("p.name"),
         original_price=c("o.original_price"), deal_price=c("o.deal_price"),
         raw_data=_meta(venue_external_id=c("p.id"), venue_name=c("p.name"), source=F.lit(source), raw_deal=c("_raw")),
     )
@@ -151,12 +145,12 @@ def read_restaurant_json(spark: SparkSession, path: str, city: str | None = None
         c("p.coordinates.lat").alias("lat"), c("p.coordinates.lng").alias("lon"), F.lit(DEFAULT_CATEGORY).alias("category"),
         F.try_element_at(symbols, c("p.price_range")).alias("price_range"), c("p.rating").alias("rating"),
         c("p.review_count").alias("review_count"), c("p.phone").alias("phone"), c("p.website").alias("website"),
-        c("p.image_url").alias("image_url"), "city_key", F.monotonically_increasing_id().alias("seq"),
+        c("p.image_url").alias("image_url"), "city_key", sequence_number().alias("seq"),
     )
     offers = _offer(places, "promo_id", "promotions")
     booking = F.coalesce(blank_to_null(c("p.booking_url")), c("p.website"), F.lit(""))
     listings = _listing(
-        offers, source_deal_id=c("o.promo_id"), title=c("o.title"), url=F.coalesce(blank_to_null(c("o.url")), booking),
+        offers, sequence_number(c("_at")), source_deal_id=c("o.promo_id"), title=c("o.title"), url=F.coalesce(blank_to_null(c("o.url")), booking),
         description=c("o.description"), merchant=c("p.name"), original_price=c("o.original_price"), deal_price=c("o.deal_price"),
         raw_data=_meta(
             venue_external_id=c("p.restaurant_id"), venue_name=c("p.name"), booking_url=booking, source=F.lit(source), raw_promo=c("_raw")
@@ -185,7 +179,7 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     undated = F.regexp_replace("pubDate", r"^\s*[A-Za-z]{3},\s*", "")
     published = F.coalesce(*[F.try_to_timestamp(undated, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("Z", "z")])
     out = _listing(
-        staged, source_deal_id=c("source_deal_id"), title=c("title"), url=c("url"), description=blank_to_null(c("summary")),
+        staged, F.monotonically_increasing_id(), source_deal_id=c("source_deal_id"), title=c("title"), url=c("url"), description=blank_to_null(c("summary")),
         deal_price=F.coalesce(price.truthy(amount("title")), amount("summary")), expires_at=published,
         raw_data=F.to_json(F.struct(c("category").alias("tags"), F.coalesce("pubDate", F.lit("")).alias("published"))),
     )
@@ -194,10 +188,9 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
 
 def read_forum_json(spark: SparkSession, path: str) -> DataFrame:
     """Forum listings: stickied posts, self posts without a URL and blank titles are dropped."""
-    posts = (
-        spark.read.schema(FORUM_JSON).option("multiLine", True).json(path)
-        .select(F.explode("data.children").alias("_c")).select("_c.data.*")
-    )
+    posts = elements(spark, path, "$.data.children[*]").select(
+        "file_number", "position", F.from_json("element", FORUM_POST.strip()).alias("d")
+    ).select("file_number", "position", "d.data.*")
     c = F.col
     flag = lambda n: F.coalesce(n, F.lit(False))
     linked = F.coalesce("url", F.lit("")) != ""
@@ -208,7 +201,7 @@ def read_forum_json(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("_price", price.price_pair(c("title")))
     )
     out = _listing(
-        kept, source_deal_id=F.coalesce("id", F.lit("")), title=c("title"),
+        kept, sequence_number(), source_deal_id=F.coalesce("id", F.lit("")), title=c("title"),
         url=F.when(linked, c("url")).otherwise(F.concat(F.lit(FORUM_HOST), F.coalesce("permalink", F.lit("")))),
         description=blank_to_null(c("selftext")), original_price=c("_price.original_price"), deal_price=c("_price.deal_price"),
         raw_data=F.to_json(
@@ -222,5 +215,9 @@ def read_forum_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def union_sources(named: dict[str, DataFrame]) -> DataFrame:
-    """Listings of several feeds with a ``source`` column."""
-    return reduce(DataFrame.unionByName, [df.withColumn("source", F.lit(name)) for name, df in named.items()])
+    """Listings of several feeds with a ``source`` column; ``seq`` goes by feed, then by arrival in it."""
+    placed = [
+        df.withColumns({"source": F.lit(name), "seq": F.lit(feed << POSITION_BITS + FILE_BITS) + F.col("seq")})
+        for feed, (name, df) in enumerate(named.items())
+    ]
+    return reduce(DataFrame.unionByName, placed)
