@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import query as q
-from ..operators import ranking
+from ..operators import ranking, text_index
+from ..sources import tables
 from .registry import joined, query, rounded, stamp
 from .views import NOW
 
@@ -323,3 +326,37 @@ def rank_all_deals(t):
         }
     )
     return ranking.rank_query(ready, F.lit(NOW).cast("timestamp")).select("id", "score", joined("reasons"))
+
+
+# --- substring index --------------------------------------------------------------
+
+TERMS = ["happy", "HAPPY_HOUR", "din%set", "menu", "diner 12", "$4", "", "zzz", "joe's diner 7", "18 dollars."]
+_TERMS_SQL = ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(TERMS))
+
+
+def _indexed(t) -> str:
+    root = tables.shared_folder(t.spark)
+    deals = t.deals.select("id", "title", "description", "merchant", "location", "is_active", "deal_price")
+    text_index.write_index(t.spread(deals), root, ["title", "description", "merchant", "location"])
+    return root
+
+
+@query(
+    f"""SELECT n AS term, count(*) AS deals, sum(id)::BIGINT AS ids FROM deals, (VALUES {_TERMS_SQL}) AS terms(n, q)
+    WHERE title ILIKE '%' || q || '%' OR description ILIKE '%' || q || '%' OR merchant ILIKE '%' || q || '%' GROUP BY n"""
+)
+def search_by_trigrams(t):
+    """Ten terms, with wildcards, too short ones and none, over title, description and merchant."""
+    root = _indexed(t)
+    found = [
+        text_index.matching(t.spark, root, term, ["title", "description", "merchant"]).select(F.lit(n).alias("term"), "id")
+        for n, term in enumerate(TERMS)
+    ]
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    return every.groupBy("term").agg(F.count(F.lit(1)).alias("deals"), F.sum("id").alias("ids"))
+
+
+@query("SELECT id, location, round(deal_price, 6) AS deal_price FROM deals WHERE is_active AND location ILIKE '%area 1%' AND deal_price <= 100000")
+def list_by_location_trigrams(t):
+    found = text_index.matching(t.spark, _indexed(t), "area 1", ["location"])
+    return q.filter_deals(found, max_price=100000.0).select("id", "location", rounded("deal_price"))
