@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, schedule, scores
 from ..functions.scores import FEATURES, RankingConfig
+from . import opening, quadtree
 from .skew import salted_join
 
 
@@ -105,15 +106,19 @@ def mapping_counts(mappings: DataFrame) -> DataFrame:
     return mappings.groupBy("venue_id").agg(F.count(F.lit(1)).alias("mapping_count"))
 
 
-def _with_context(found: DataFrame, schedules: DataFrame, mappings: DataFrame, at: Column) -> DataFrame:
-    """Open flag (NULL without schedules) and venue popularity joined on.
+def _with_context(found: DataFrame, schedules: DataFrame, mappings: DataFrame, at: Column | None) -> DataFrame:
+    """Open flag (NULL without schedules) and venue popularity joined on; without ``at`` each row has its own.
 
     Both child tables are cut down to the deals and venues found before they are grouped.
     """
-    hours = schedules.join(found.select(F.col("id").alias("deal_id")), "deal_id", "left_semi")
     listed = mappings.join(found.select("venue_id"), "venue_id", "left_semi")
+    if at is None:
+        flagged = found.join(opening.open_each(found, schedules), ["id", "at"], "left")
+    else:
+        hours = schedules.join(found.select(F.col("id").alias("deal_id")), "deal_id", "left_semi")
+        flagged = found.join(open_flags(hours, at), "id", "left")
     return (
-        found.join(open_flags(hours, at), "id", "left")
+        flagged
         .join(mapping_counts(listed), "venue_id", "left")
         .withColumn("venue_source_count", F.greatest(F.coalesce("mapping_count", F.lit(0)), F.lit(1)))
         .drop("mapping_count")
@@ -219,20 +224,25 @@ def nearby_batch(
     schedules: DataFrame,
     mappings: DataFrame,
     *,
-    at: str,
-    max_radius_m: float,
+    at: str | None = None,
+    max_radius_m: float | None = None,
     top: int,
     open_now: bool | None = None,
     rows_per_task: int | None = None,
     config: RankingConfig = RankingConfig(),
 ) -> DataFrame:
     """The ranked geo query for a table of points (query_id, q_lat, q_lon, radius_m,
-    preferred_categories) at one instant: the ``top`` deals of each point.
+    preferred_categories): the ``top`` deals of each point, at one instant or each at its own (column ``at``).
 
-    The geo join comes first, so only schedules and mappings of deals in reach are grouped.
+    The geo join comes first, so only schedules and mappings of deals in reach are grouped.  Without ``max_radius_m``
+    it goes by a quadtree of the deals, for radii that differ widely.
     """
-    instant = F.lit(at).cast("timestamp")
-    hits = within_radius(points, located(deals), max_radius_m=max_radius_m, rows_per_task=rows_per_task)
+    placed = located(deals)
+    if max_radius_m is None:
+        hits = quadtree.within_radius(points, placed)
+    else:
+        hits = within_radius(points, placed, max_radius_m=max_radius_m, rows_per_task=rows_per_task)
+    instant = None if at is None else F.lit(at).cast("timestamp")
     hits = _only_open(_with_context(hits, schedules, mappings, instant), open_now)
     ready = hits.withColumns(
         {
@@ -243,7 +253,8 @@ def nearby_batch(
     )
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     # Spark cuts each task's rows to the first ``top`` per point before the shuffle.
-    return rank_query(ready, instant, config).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
+    ranked = rank_query(ready, F.col("at") if instant is None else instant, config)
+    return ranked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
 
 
 def apply_preferences(deals: DataFrame, preferences: DataFrame) -> DataFrame:

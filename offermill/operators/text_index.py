@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.bitmaps import has_bit
+
 GRAM = 3
 FOLDER_BITS = 6  # buckets of 32,768 rows per folder, as a power of two
 _CONTEXT = re.compile("[σςΣ]")  # lower case depends on the letters around it
@@ -71,13 +73,6 @@ def needed_grams(spark: SparkSession, q: str) -> list[str]:
     return [g for g in found if not _CONTEXT.search(g)]
 
 
-def _bit(bitmap: Column, row: Column) -> Column:
-    """Whether a row's bit is set in the bitmap of its bucket."""
-    at = F.bitmap_bit_position(row)
-    byte = F.ascii(F.decode(F.substring(bitmap, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
-    return F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1
-
-
 def candidates(spark: SparkSession, root: str, q: str, fields: list[str]) -> DataFrame | None:
     """(folder, bucket, rows) that may match in one of the fields; None if every row may."""
     grams = needed_grams(spark, q)
@@ -105,7 +100,7 @@ def matching(spark: SparkSession, root: str, q: str, fields: list[str], *, verif
     if found is not None:
         held = found.select(F.col("folder").alias("_folder"), F.col("bucket").alias("_bucket"), F.col("rows").alias("_rows"))
         placed = rows.withColumn("_bucket", F.bitmap_bucket_number("_row"))
-        rows = placed.join(held, ["_folder", "_bucket"]).filter(_bit(F.col("_rows"), F.col("_row"))).drop("_bucket", "_rows")
+        rows = placed.join(held, ["_folder", "_bucket"]).filter(has_bit(F.col("_rows"), F.col("_row"))).drop("_bucket", "_rows")
     if verified:
         rows = rows.filter(reduce(lambda a, b: a | b, [F.col(f).ilike(f"%{q}%") for f in fields]))
     return rows.drop("_row", "_folder")

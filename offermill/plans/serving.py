@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import query as q
-from ..operators import ranking, text_index
+from ..operators import opening, quadtree, ranking, text_index
 from ..sources import tables
 from .registry import joined, query, rounded, stamp
 from .views import NOW
@@ -328,6 +328,72 @@ def rank_all_deals(t):
     return ranking.rank_query(ready, F.lit(NOW).cast("timestamp")).select("id", "score", joined("reasons"))
 
 
+# --- radii and instants of their own ----------------------------------------------
+
+_RADIUS = "CASE query_id % 4 WHEN 0 THEN 50 WHEN 1 THEN 2000 WHEN 2 THEN 50000 ELSE 804672 END::DOUBLE"
+_APART = miles_sql("p.q_lat", "p.q_lon", "d.lat", "d.lon")
+
+
+def _mixed(t):
+    r = F.when(F.col("query_id") % 4 == 0, 50.0).when(F.col("query_id") % 4 == 1, 2000.0).when(F.col("query_id") % 4 == 2, 50_000.0)
+    return t.points.select("query_id", "q_lat", "q_lon", r.otherwise(804_672.0).alias("radius_m"), F.array("wanted").alias("preferred_categories"))
+
+
+@query(
+    f"""WITH mixed AS (SELECT query_id, q_lat, q_lon, {_RADIUS} AS radius_m FROM points),
+    hits AS (SELECT p.query_id, {_APART} AS m FROM mixed p JOIN deals d ON d.is_active AND {_APART} <= p.radius_m * 0.000621371)
+    SELECT query_id, count(*) AS deals, round(min(m), 6) AS nearest, round(max(m), 6) AS farthest FROM hits GROUP BY query_id"""
+)
+def geo_join_mixed_radii(t):
+    """Circles of 50 m, 2 km, 50 km and 500 miles in one table."""
+    hits = quadtree.within_radius(_mixed(t), ranking.located(t.deals).select("id", "lat", "lon"), rows_per_leaf=500)
+    return hits.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("deals"), F.round(F.min("distance_miles"), 6).alias("nearest"), F.round(F.max("distance_miles"), 6).alias("farthest")
+    )
+
+
+_AT = f"TIMESTAMP '{NOW}' + to_hours((13 * query_id % 400)::INT)"
+
+
+@query(
+    f"""WITH asked AS (SELECT query_id, o_orderkey AS id, {_AT} AS moment FROM points JOIN orders ON o_orderkey % 97 = query_id % 97),
+    flags AS (SELECT a.query_id, a.id, a.moment, s.deal_id IS NOT NULL AND (valid_from IS NULL OR moment >= valid_from) AND (valid_until IS NULL OR moment <= valid_until)
+      AND (day_of_week IS NULL OR day_of_week = isodow(moment) - 1)
+      AND (start_time IS NULL OR end_time IS NULL OR strftime(moment, '%H:%M') BETWEEN start_time AND end_time) AS covered FROM asked a JOIN schedules s ON s.deal_id = a.id)
+    SELECT id, strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment, bool_or(covered) AS is_open_now FROM flags GROUP BY 1, 2"""
+)
+def open_deals_at_instants(t):
+    """Some deals of every point at the point's own instant."""
+    spots = t.points.select("query_id", _instant().alias("at"))
+    asked = t.deals.select("id", (F.col("id") % 97).alias("k")).join(spots.withColumn("k", F.col("query_id") % 97), "k")
+    return opening.open_each(asked, t.schedules).select("id", stamp("at").alias("moment"), "is_open_now")
+
+
+def _instant():
+    return F.lit(NOW).cast("timestamp") + F.make_dt_interval(hours=(F.col("query_id") * 13 % 400).cast("int"))
+
+
+@query(
+    f"""WITH asked AS (SELECT *, {_AT} AS moment FROM points),
+    hits AS (SELECT p.query_id, p.wanted, p.moment, d.*, {_APART} AS distance_miles FROM asked p JOIN deals d ON d.lat BETWEEN p.q_lat - 0.05 AND p.q_lat + 0.05
+      AND {_APART} <= p.radius_m * 0.000621371 WHERE d.is_active),
+    flags AS (SELECT h.query_id, h.id, bool_or((valid_from IS NULL OR moment >= valid_from) AND (valid_until IS NULL OR moment <= valid_until)
+      AND (day_of_week IS NULL OR day_of_week = isodow(moment) - 1)
+      AND (start_time IS NULL OR end_time IS NULL OR strftime(moment, '%H:%M') BETWEEN start_time AND end_time)) AS is_open_now
+      FROM hits h JOIN schedules s ON s.deal_id = h.id GROUP BY 1, 2),
+    near AS (SELECT h.*, o.is_open_now, greatest(coalesce(m.n, 0), 1) AS n_sources FROM hits h LEFT JOIN flags o ON o.id = h.id AND o.query_id = h.query_id
+      LEFT JOIN (SELECT venue_id, count(*) AS n FROM mappings GROUP BY venue_id) m ON m.venue_id = h.venue_id),
+    {rank_sql('near', 'lower(category) = lower(wanted)').replace(f"TIMESTAMP '{NOW}'", "moment")}, placed AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM ranked)
+    SELECT query_id, CAST(place AS INT) AS place, {SHOWN_SQL} FROM placed WHERE place <= 10"""
+)
+def nearby_batch_instants(t):
+    """The ranked geo query with a time for every point, over the quadtree."""
+    points = _points(t).withColumn("at", _instant())
+    out = ranking.nearby_batch(points, t.deals, t.schedules, t.mappings, top=10)
+    return out.select("query_id", "place", "id", "score", rounded("distance_m", 3), joined("reasons"), "is_open_now", "venue_source_count")
+
+
 # --- substring index --------------------------------------------------------------
 
 TERMS = ["happy", "HAPPY_HOUR", "din%set", "menu", "diner 12", "$4", "", "zzz", "joe's diner 7", "18 dollars."]
