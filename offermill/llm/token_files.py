@@ -81,24 +81,26 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of a space and each word.  Words of visible characters go in long runs that are cut at their spaces."""
-        plain, tailed = [], []
+        plain, tailed, inner = [], [], []
         for word in words:
-            if len(word.split()) == 1 and not (word[0].isspace() or word[-1].isspace()):
-                head = word.rstrip(_MARKS)
-                (tailed if head != word and head.isalpha() else plain).append(word)
+            if word.isalpha():
+                plain.append(word)
+            elif (head := word.rstrip(_MARKS)).isalpha():
+                tailed.append((word, head))
+            elif (parts := word.split()) == [word]:
+                plain.append(word)
+            elif len(parts) > 1 and not (word[0].isspace() or word[-1].isspace()):
+                inner.append(word)
         # Letters and the marks behind them are pieces of their own, so words share the ids of their letters.
-        heads = {w.rstrip(_MARKS) for w in tailed} - self.young.keys()
-        marks = list({w[len(w.rstrip(_MARKS)):] for w in tailed} - self.marks.keys())
+        heads = {head for _, head in tailed} - self.young.keys()
+        marks = list({word[len(head):] for word, head in tailed} - self.marks.keys())
         self.marks.update(zip(marks, [i.tobytes() for i in self._ids(marks)]))
         plain.extend(heads.difference(plain))
         runs = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
         for run, ids in zip(runs, self._ids([" " + " ".join(r) for r in runs])):
             data, at = ids.tobytes(), (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
             self.young.update(zip(run, [data[i:j] for i, j in zip(at, at[1:])]))
-        for word in tailed:
-            head = word.rstrip(_MARKS)
-            self.young[word] = self.young[head] + self.marks[word[len(head):]]
-        inner = [w for w in words if len(w.split()) > 1 and not (w[0].isspace() or w[-1].isspace())]
+        self.young.update([(word, self.young[head] + self.marks[word[len(head):]]) for word, head in tailed])
         self.young.update(zip(inner, [i.tobytes() for i in self._ids([" " + w for w in inner])]))
         # Words that touch further white space are never remembered: their texts are cut with more care.
 
@@ -109,7 +111,8 @@ class Encoder:
         special = iter(self._ids([t for t, w in zip(texts, whole) if w]))
         split = [[""] if w else t.split(" ") for t, w in zip(texts, whole)]
         heads = self._ids([s[0] for s in split])
-        wanted = set().union(*(s[1:] for s in split)) - self.young.keys()
+        young = self.young
+        wanted = {word for parts in split for word in parts[1:] if word not in young}
         known = wanted & self.old.keys()
         for word in known:
             self.young[word] = self.old[word]
