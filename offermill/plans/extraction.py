@@ -132,6 +132,28 @@ def normalized_json(t):
     return docs.select("deal_id", fields.alias("j")).select("deal_id", "j.*")
 
 
+_FULL_SQL = """source_deal_id, title, description, deal_type, merchant, 'USD' AS currency, round(price, 6) AS price, lo, hi, round(original_price, 6) AS original_price,
+  round(CASE WHEN original_price > 0 AND price < original_price THEN (original_price - price) / original_price * 100 END, 2) AS discount_pct, days, start_time, end_time,
+  0::BIGINT AS items, 0::BIGINT AS restrictions, 'feed' AS source, url AS source_url, '2001-08-01T12:00:00+00:00' AS last_seen, 'run-1' AS ingest_run_id,
+  CAST(confidence AS DOUBLE) AS confidence, CAST(quality_score AS DOUBLE) AS quality_score, 0::BIGINT AS issues, dedup_key"""
+
+
+@query(f"WITH {SCORED} SELECT {_FULL_SQL} FROM scored")
+def normalized_json_fields(t):
+    """All 24 fields of the JSON documents."""
+    kind = """source_deal_id string, title string, description string, deal_type string, merchant string, currency string, price double, price_range array<double>,
+      original_price double, discount_pct double, days array<int>, start_time string, end_time string, items_included array<string>, restrictions array<string>, source string,
+      source_url string, last_seen string, ingest_run_id string, confidence double, quality_score double, validation_issues array<string>, dedup_key string"""
+    j = normalize.to_json_rows(_normal(False)(t)).select(F.from_json("json", kind).alias("j")).select("j.*")
+    many = {n: F.size(n).cast("long") for n in ("items_included", "restrictions", "validation_issues")}
+    return j.select(
+        "source_deal_id", "title", "description", "deal_type", "merchant", "currency", F.round("price", 6).alias("price"), F.get("price_range", F.lit(0)).alias("lo"),
+        F.get("price_range", F.lit(1)).alias("hi"), F.round("original_price", 6).alias("original_price"), "discount_pct", joined("days", ""), "start_time", "end_time",
+        many["items_included"].alias("items"), many["restrictions"].alias("restrictions"), "source", "source_url", "last_seen", "ingest_run_id", "confidence", "quality_score",
+        many["validation_issues"].alias("issues"), "dedup_key",
+    )
+
+
 # Expected items and restrictions per listing template, worked out by hand from the rules.
 ITEMS = {2: "soup; salad; entree", 7: "30 p", 10: "sauce; fries; beer", 12: "soup; sandwich; drink", 15: "other offers"}
 LIMITS = {
@@ -206,6 +228,56 @@ def normalize_candidates(t):
     return out.join(given, "seq").select("seq", F.col("title").alias("first_line"), "priced_by", "deal_type", joined("days", ""))
 
 
+@query(
+    f"""WITH {PARSED} SELECT seq, CASE WHEN seq % 2 = 0 THEN merchant ELSE title END AS merchant, 'USD' AS currency, deal_type, days,
+      substr(sha256('feed:' || CASE WHEN seq % 2 = 0 THEN source_deal_id ELSE substr(sha256(concat_ws(chr(10), title, description)), 1, 12) END), 1, 16) AS deal_id,
+      CASE WHEN seq % 2 = 0 THEN url END AS listing_url FROM final"""
+)
+def normalize_mixed(t):
+    """Even listings as they are, odd ones as blocks of text that went through the extractor, in one table."""
+    found = extract.extract_candidates(_blocks(t).filter("seq % 2 = 1"))
+    out = normalize.normalize_listings(PROVENANCE, t.spread(t.listings).filter("seq % 2 = 0"), found, dedup=False)
+    return out.select("seq", "merchant", "currency", "deal_type", joined("days", ""), "deal_id", F.when(F.col("seq") % 2 == 0, F.col("source_url")).alias("listing_url"))
+
+
+# Texts and what the rules make of them, worked out by hand: currency, range, merchant of a block, city.
+SIGNALS = [
+    ("5 dollars", "USD", "$8-$12", (8, 12), "Blue Smoke\nhappy hour", "Blue Smoke", " NYC ", "New York/NY/US"),
+    ("€5 or $4", "USD", " $20 - $10.5 ", (10.5, 20), "12. The Grill — tacos\nx", "The Grill", "San Francisco", "San Francisco/CA/US"),
+    ("£3, €2", "EUR", "8-12", None, "1. Joe\nbar", None, "la", "Los Angeles/CA/US"),
+    ("£3", "GBP", "$8", None, "  Cafe Un  ", "Cafe Un", "Old Town", "Old Town/-/US"),
+    ("¥500", "JPY", None, None, "7 wells\nx", None, "st. louis, mo", "St. Louis Mo/-/US"),
+    ("", "USD", "$1-$1", (1, 1), "short", None, "BOSTON", "Boston/MA/US"),
+]
+
+
+def _signal_sql(n: int, end: int | None = None) -> str:
+    values = [x[n] if end is None else (x[n] or (None, None))[end] for x in SIGNALS]
+    quoted = ["NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in values]
+    return "CASE (seq // 3) % 6 " + " ".join(f"WHEN {i} THEN {q}" for i, q in enumerate(quoted)) + " END"
+
+
+@query(
+    f"""SELECT seq, {_signal_sql(1)} AS currency, {_signal_sql(3, 0)} AS lo, {_signal_sql(3, 1)} AS hi, {_signal_sql(5)} AS merchant, {_signal_sql(7)} AS city,
+      'old-town-' || CAST(seq AS VARCHAR) || CASE WHEN seq % 2 = 0 THEN '-ca' ELSE '' END AS slug FROM listings"""
+)
+def text_signals(t):
+    """Currency of a text, bounds of a range, merchant of a block, name of a city, slug of a place."""
+    def given(n: int):
+        at = F.floor(F.col("seq") / 3) % len(SIGNALS)
+        return F.get(F.array(*[F.lit(x[n]) for x in SIGNALS]), at.cast("int"))
+
+    rows = t.listings.select("seq", given(0).alias("t"), given(2).alias("r"), given(4).alias("b"), given(6).alias("c"))
+    city = text.city_info(text.city_slug(F.col("c")))
+    bounds = price.parse_range_text(F.col("r"))
+    place = F.concat(F.lit("Old Town "), F.col("seq").cast("string"))
+    return rows.select(
+        "seq", price.currency(F.col("t")).alias("currency"), bounds["lo"].alias("lo"), bounds["hi"].alias("hi"), text.block_merchant(F.col("b")).alias("merchant"),
+        F.concat_ws("/", city["name"], F.coalesce(city["state"], F.lit("-")), city["country"]).alias("city"),
+        F.when(F.col("seq") % 2 == 0, text.place_slug(place, F.lit("CA"))).otherwise(text.place_slug(place)).alias("slug"),
+    )
+
+
 _INGEST_SQL = r"""
   amounts AS (SELECT *, list_transform(regexp_extract_all(title || ' ' || coalesce(description, ''), '\$([0-9]+(?:\.[0-9]{1,2})?)', 1), lambda x: CAST(x AS DOUBLE)) AS a,
     lower(title || ' ' || coalesce(description, '')) AS l FROM listings),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.scores import RankingConfig
 from ..operators import query as q
 from ..operators import opening, quadtree, ranking, text_index
 from ..sources import tables
@@ -129,6 +130,22 @@ def nearby_by_venue_position(t):
     return found.select("id", rounded("distance_miles"))
 
 
+_OWN = {"0.25 * f1": "0.10 * f1", "0.20 * f2": "0.05 * f2", "0.15 * f3": "0.30 * f3", "0.20 * f4": "0.40 * f4", "/ 48.0": "/ 2000.0", "distance_miles / 2.0": "distance_miles / 7.5"}
+
+
+def _own_weights(sql: str) -> str:
+    for old, new in _OWN.items():
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(f"WITH {NEAR_SQL}, {_own_weights(rank_sql('near', 'false'))} SELECT {SHOWN_SQL} FROM ranked")
+def nearby_own_weights(t):
+    """Weights and decays of one's own."""
+    config = RankingConfig(deal_value=0.10, open_now=0.05, freshness=0.30, distance=0.40, freshness_decay_hours=2000.0, distance_decay_miles=7.5)
+    return _shown(_near(t, config=config))
+
+
 def _points(t):
     return t.points.select("query_id", "q_lat", "q_lon", "radius_m", F.array("wanted").alias("preferred_categories"))
 

@@ -14,7 +14,7 @@ from ..sources.store import Store
 from ..streaming import jobs, keyed, stored
 from .extraction import _DISCOUNT_SQL, _INGEST_SQL
 from .ingestion import _RUNNING_SQL, LATER
-from .registry import query
+from .registry import query, stamp
 from .views import NOW, VIEWS
 
 
@@ -67,6 +67,26 @@ def stream_ingest(t):
     return out.select("source_deal_id", "category", F.round("deal_price", 6).alias("deal_price"), "discount_pct", "quality_score")
 
 
+SWEEP_NOW = "1996-01-01 12:00:00"
+
+
+@query(
+    f"""WITH {_INGEST_SQL}, done AS (SELECT r.*, {_DISCOUNT_SQL.format(o="orig", d="deal")} AS disc, d.fetched_at AS f, d.last_seen_at AS ls FROM ruled r JOIN deals d ON d.id = r.seq)
+    SELECT source_deal_id, NOT coalesce(expires_at < TIMESTAMP '{SWEEP_NOW}', false) AND NOT coalesce(ls < TIMESTAMP '{SWEEP_NOW}' - INTERVAL 96 HOUR, false) AS is_active,
+      strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at,
+      round(0.40 * least(coalesce(disc, 0) / 100, 1.0) + 0.35 * exp(-((epoch_us(TIMESTAMP '{SWEEP_NOW}') - epoch_us(f)) / 3.6e9) / 48.0) + 0.25 * quality, 4) AS rank_score FROM done
+    WHERE f <= TIMESTAMP '{SWEEP_NOW}'"""
+)
+def stream_ingest_swept(t):
+    """What the sweep of a batch leaves: expired and unseen deals inactive, the rest ranked."""
+    root = tables.shared_folder(t.spark)
+    deals = t.deals.withColumn("source_id", F.lit(9).cast("long"))
+    tables.write_version(deals, root, "deals", 0)
+    jobs.stream_ingest(_stream(t, "orders", "listings"), root, 9, lambda batch: SWEEP_NOW).awaitTermination()
+    out = tables.read_version(t.spark, root, "deals", 1).filter(F.col("fetched_at") <= F.lit(SWEEP_NOW).cast("timestamp"))
+    return out.select("source_deal_id", "is_active", stamp("expires_at").alias("expires_at"), "rank_score")
+
+
 # --- keyed state ------------------------------------------------------------------
 
 
