@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_files import encoder
-from .words import windows
+from .token_files import ENCODERS, encoder
+from .words import lean, windows
 
 CAPACITY = 2048
 SLACK = 1 / 128
@@ -186,7 +186,7 @@ def sequences(
             yield _batch(first, held, capacity, pad_id)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SEQUENCE_KIND)
+    return rows.mapInArrow(lean(run, keep=ENCODERS), SEQUENCE_KIND)
 
 
 def pieces(packed: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from ..session import cut_lineage
 from .components import components
 from .token_files import scratch
-from .words import mix, word_runs
+from .words import lean, mix, word_runs
 
 WIDTH = 5
 PERCENT = 75
@@ -201,7 +201,7 @@ class _Space:
         with_x = self.sets.select("x", F.col("n").alias("nx"), F.col("set").alias("set_x")).join(pairs, "x")
         others = self.sets.join(_sized(pairs.select(F.col("y").alias("x")).distinct()), "x", "left_semi")
         both = with_x.join(others.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("set").alias("set_y")), "y")
-        found = both.select("x", "y", "nx", "ny", "set_x", "set_y").mapInArrow(_measured, "x long, y long, nx int, ny int, both long")
+        found = both.select("x", "y", "nx", "ny", "set_x", "set_y").mapInArrow(lean(_measured), "x long, y long, nx int, ny int, both long")
         union = F.col("nx") + F.col("ny") - F.col("both")
         return _kept(found.select("x", "y", (1 - F.col("both") / union).alias("d"), (F.col("both") * 100 >= union * PERCENT).alias("linked")), "distances")
 
@@ -230,7 +230,7 @@ def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     space = _linked(rows)
-    named = rows.mapInArrow(_names, "doc_id long, n long, x long")
+    named = rows.mapInArrow(lean(_names), "doc_id long, n long, x long")
     labelled = _kept(named.withColumn("c", F.col("x")) if space is None else space.labelled(named), "labels")
     filled = labelled.filter("n > 0")
     least = filled.groupBy("c").agg(F.min("doc_id").alias("component_id"))
@@ -272,7 +272,7 @@ def _with_pivot(rows: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame) -> _Space | None:
     kind = "x long, n int, h long"
-    shared = _by_cell(rows.select("text").mapInArrow(_dealt_texts, kind))
+    shared = _by_cell(rows.select("text").mapInArrow(lean(_dealt_texts), kind))
     able = cut_lineage(
         shared.groupBy("x").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("all"), F.sum((F.col("size") > HOT).cast("int")).alias("hot"))
         .filter(F.col("all") >= _needed(F.col("n")))
@@ -280,18 +280,18 @@ def _linked(rows: DataFrame) -> _Space | None:
     )
     if able.isEmpty():
         return None
-    sets = rows.select("text").mapInArrow(_whole_sets, "x long, n int, set binary").join(_sized(able.select("x")), "x", "left_semi")
+    sets = rows.select("text").mapInArrow(lean(_whole_sets), "x long, n int, set binary").join(_sized(able.select("x")), "x", "left_semi")
     sets = _kept(sets.dropDuplicates(["x"]), "sets")
     space = _Space(sets)
 
     # Cells of at most HOT sets, and those of the sets that large cells could link, by shingles rare among these.
     heavy = _sized(able.filter(F.col("hot") >= _needed(F.col("n"))).select("x"))
-    dealt = _by_cell(sets.select("x", "set").mapInArrow(_dealt_sets, kind)).filter(F.col("size") <= HOT)
+    dealt = _by_cell(sets.select("x", "set").mapInArrow(lean(_dealt_sets), kind)).filter(F.col("size") <= HOT)
     # Of the shingles that two linked sets share, those of dropped cells are not counted.
     known = _sized(able.select("x", "hot", "s"))
     counted = dealt.join(known, "x").withColumn("least", F.ceil(F.col("n") * EXTRA / F.lit(100)) - F.col("hot"))
     small = _with_pivot(counted.withColumn("least", F.col("least").cast("int")))
-    again = _by_cell(sets.join(heavy, "x", "left_semi").select("x", "set").mapInArrow(_shingles, kind))
+    again = _by_cell(sets.join(heavy, "x", "left_semi").select("x", "set").mapInArrow(lean(_shingles), kind))
     # Shingles of one set among the heavy ones come first in its order and meet nobody.
     rank = F.row_number().over(W.partitionBy("x").orderBy("size", "h"))
     met = F.count(F.lit(1)).over(W.partitionBy("x"))

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .words import windows
+from .words import MEMORY, lean, windows
 
 END_ID = 0
 BLOCK_TOKENS = 2_000_000
@@ -133,15 +133,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+ENCODERS = "encoders"
 
 
 def encoder(definition: str) -> Encoder:
-    """One encoder per worker process."""
-    key = zlib.crc32(definition.encode())
-    if key not in _encoders:
-        _encoders[key] = Encoder(definition)
-    return _encoders[key]
+    """One encoder per worker process, for as long as it encodes (``lean``)."""
+    held = MEMORY.setdefault(ENCODERS, {})
+    if definition not in held:
+        held[definition] = Encoder(definition)
+    return held[definition]
 
 
 # ---- grammar ----------------------------------------------------------------------------------------------------
@@ -351,7 +351,7 @@ def blocks(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
             yield packed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, BLOCK_KIND)
+    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run, keep=ENCODERS), BLOCK_KIND)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, **options) -> None:
@@ -382,7 +382,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     stored = spark.read.parquet(path)
     kept = ["shard", "block", "ids", "known", "counts", "bounds", "base", "rules", "lengths", "width", "symbols"]
-    found = stored.select(kept).mapInArrow(run, "doc_id long, inside long, n_tokens long, ids_crc32 long, shard int, block int")
+    found = stored.select(kept).mapInArrow(lean(run), "doc_id long, inside long, n_tokens long, ids_crc32 long, shard int, block int")
     earlier = W.rowsBetween(W.unboundedPreceding, -1)
     sizes = stored.select("shard", "block", "n_tokens")
     shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select(

@@ -6,7 +6,9 @@ the word alone, so they agree between tasks and runs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,35 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+# What the tasks of one Python worker keep for later ones.  Workers outlive their tasks, so it has to go when others run.
+MEMORY: dict[str, dict] = {}
+
+
+def _release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Batches], Batches], keep: str | None = None) -> Callable[[Batches], Batches]:
+    """A task that first drops what other kinds of tasks keep in this worker, and leaves no freed memory behind."""
+
+    @wraps(run)
+    def bounded(batches: Batches) -> Batches:
+        for name in MEMORY.keys() - {keep}:
+            del MEMORY[name]
+        _release()
+        yield from run(batches)
+        _release()
+
+    return bounded
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h.astype(np.uint64, copy=True)
