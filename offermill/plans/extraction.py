@@ -388,6 +388,46 @@ def page_listings(t):
     return html.pages_to_listings(pages).select("source_deal_id", "title", "url", "description")
 
 
+# Pages of five headings each, two of them repeated and one too short, written around the id of every given page.
+_GUIDE = """'<html><head><title> Guide ' || page_id || '</title></head><body><nav><h2>Happy hour everywhere and always</h2></nav><main><div class="Entry-Content"><h1>Guide</h1>'
+  || '<h2 id="a' || page_id || '">1. Bar ' || (page_id % 9) || ' &amp; Co</h2><p>Happy hour daily 4-6pm.<br>$' || (page_id % 7 + 3) || ' beers</p> by the river <ul><li>fries</li></ul>'
+  || '<h2>Cafe ' || page_id || '</h2><p>Lunch special   $9</p><h3>x</h3><h2>1. Bar ' || (page_id % 9) || ' &amp; Co</h2><p>Happy hour daily 4-6pm.<br>$' || (page_id % 7 + 3) || ' beers</p> by the river <ul><li>fries</li></ul>'
+  || '<h2>Cafe ' || page_id || '</h2><p>Something else, $4 instead of $8</p><footer><h2>Contact us for happy hours</h2></footer></div></main></body></html>'"""
+
+
+def _guides(t):
+    return t.spread(t.base("pages")).select("page_id", "url", F.expr(_GUIDE).alias("html"))
+
+
+@query(
+    r"""WITH b AS (SELECT page_id, url, p, CASE p WHEN 0 THEN '1. Bar ' || (page_id % 9) || ' & Co' || chr(10) || 'Happy hour daily 4-6pm. ' || chr(10) || ' $' || (page_id % 7 + 3) || ' beers' || chr(10) || 'by the river' || chr(10) || 'fries'
+        WHEN 1 THEN 'Cafe ' || page_id || chr(10) || 'Lunch special $9' ELSE 'Cafe ' || page_id || chr(10) || 'Something else, $4 instead of $8' END AS text FROM pages, (VALUES (0), (1), (2)) AS x(p))
+    SELECT page_id, p::INT AS position, 3::INT AS block_count, 'Guide ' || page_id AS page_title, CASE p WHEN 0 THEN 'h2#a' || page_id ELSE 'h2' END AS html_context, text,
+      substr(sha256(url || '#blog_listing#' || p), 1, 16) AS block_id FROM b""",
+    views=False,
+)
+def page_guide_blocks(t):
+    """Blocks in page order: a repeated one is left out and the rest numbered on."""
+    blocks = html.pages_to_blocks(_guides(t), "blog_listing")
+    return blocks.select("page_id", "position", "block_count", "page_title", "html_context", "text", "block_id")
+
+
+@query(
+    """SELECT page_id, 'fix-' || page_id || CASE p WHEN 0 THEN '-bar-' || (page_id % 9) || '-co' ELSE '-cafe-' || page_id END AS source_deal_id,
+      CASE p WHEN 0 THEN 'Bar ' || (page_id % 9) || ' & Co' ELSE 'Cafe ' || page_id END AS title,
+      CASE p WHEN 0 THEN 'Happy hour daily 4-6pm. $' || (page_id % 7 + 3) || ' beers by the river fries' ELSE 'Lunch special   $9' END AS description,
+      CASE p WHEN 0 THEN page_id % 7 + 3 ELSE 9 END::DOUBLE AS deal_price FROM pages, (VALUES (0), (1)) AS x(p)""",
+    views=False,
+)
+def page_guide_listings(t):
+    """Of two headings with one id on a page the first counts."""
+    pages = _guides(t).withColumn("stem", F.col("page_id").cast("string"))
+    found = html.pages_to_listings(pages)
+    return found.select(
+        F.regexp_extract("source_deal_id", r"^fix-(\d+)-", 1).cast("long").alias("page_id"), "source_deal_id", "title", "description", "deal_price"
+    )
+
+
 @query()
 def page_candidates(t):
     """Pages to validated candidates, with the blocks of each page counted."""

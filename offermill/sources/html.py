@@ -1,13 +1,14 @@
 """HTML pages -> listings and text blocks.
 
-Only the document walk runs in Python, one page at a time inside an Arrow UDF.  It gives
-back the raw pieces of a page as an array; filters, de-duplication inside the page and
-numbering are array functions on that row, so no shuffle is needed.
+Only the reading of markup runs in Python, in one pass over the parser's events inside an
+Arrow UDF.  It gives back the raw pieces of a page as an array; filters, de-duplication
+inside the page and numbering are array functions on that row, so no shuffle is needed.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -40,196 +41,217 @@ SKIPPED_TITLES = (
     r"social media|top picks|our menu|reservations|about"
 )
 MIN_BLOCK_CHARS = 20
+TITLE_CHARS = (5, 250)
 # ----------------------------------------------------------------------------------
 
 
-class _Node:
-    __slots__ = ("name", "attrs", "children", "parent", "text")
+@dataclass(frozen=True)
+class _Reading:
+    """What one kind of page is read for."""
 
-    def __init__(self, name, attrs=None, text=None):
-        self.name, self.attrs, self.text = name, attrs or {}, text
-        self.children, self.parent = [], None
+    chrome: frozenset[str]  # elements that are passed over with all they hold
+    areas: tuple[str, ...]  # where pieces may lie, the best first; "*" is the page, "." a content class
+    heads: tuple[str, ...]  # headings that begin a piece
+    ends: frozenset[str]  # headings that end the piece of a heading beside them
+    steps: int  # length of the context
+    items: bool = False  # outermost list items are pieces
+    keywords: bool = False  # only elements and headings with a keyword are pieces
+    prose: bool = False  # pieces are a title and prose, without line breaks
 
-    def walk(self):
-        """Descendants in document order; a stack, because unclosed tags nest deeply."""
-        stack = self.children[::-1]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(reversed(node.children))
 
-    def strings(self):
-        return [n.text for n in self.walk() if n.name == "#text"]
+class _Piece:
+    """Text that is still being collected.
 
-    def following(self):
-        siblings = self.parent.children
-        return siblings[siblings.index(self) + 1 :]
-
-    def drop(self, names):
-        for node in [self, *self.walk()]:
-            node.children = [c for c in node.children if c.name not in names]
-
-    def find(self, name):
-        return next((n for n in self.walk() if n.name == name), None)
+    ``level`` is the number of open elements around the element the piece began at.  A heading goes on with what stands
+    beside it, so it is open as long as these elements are; any other element as long as it is open itself.
+    """
 
+    __slots__ = ("kind", "level", "until", "parts", "contexts")
 
-class _Tree(HTMLParser):
-    """Lenient tree: an end tag closes up to its start tag, stray end tags do nothing."""
+    def __init__(self, kind: str, level: int, beside: bool, contexts: dict[str, str]):
+        self.kind, self.level, self.contexts = kind, level, contexts
+        self.until = level if beside else level + 1
+        self.parts: list[list[str]] = [[]]
 
-    def __init__(self, markup: str):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("#root")
-        self.open, self.pending = [self.root], []
-        self.feed(markup)
-        self.close()
-        self._flush()
+    def add(self, text: str, level: int) -> None:
+        if level > self.level:
+            self.parts[-1].append(text)
+        else:  # beside the heading: a part of its own
+            self.parts += [[text.strip()], []]
 
-    def _add(self, node):
-        node.parent = self.open[-1]
-        node.parent.children.append(node)
-        return node
 
-    def _flush(self):
-        data = "".join(self.pending)
-        self.pending = []
-        if data:
-            if not data.strip(" \t\n\r\f"):
-                data = "\n" if "\n" in data else " "
-            self._add(_Node("#text", text=data))
+class _Reader(HTMLParser):
+    """One pass over the events of a page; keeps the names of the open elements and the pieces being collected.
 
-    def handle_data(self, data):
-        self.pending.append(data)
+    An end tag closes all elements up to its start tag, one without a start tag does nothing.
+    """
 
-    def handle_comment(self, data):
-        self._flush()
-        self._add(_Node("#comment", text=data))
+    def __init__(self, reading: _Reading):
+        super().__init__(convert_charrefs=True)
+        self.reading = reading
+        self.open: list[tuple[str, str]] = []  # name and context step of each open element
+        self.muted: int | None = None  # level of the chrome around
+        self.areas: dict[str, int | None] = {"*": 0}  # level inside each area found, None once it is over
+        self.titles: list[str] | None = None
+        self.title_level: int | None = None
+        self.collecting: list[_Piece] = []
+        self.pieces: list[_Piece] = []
+        self.run: list[str] = []
+
+    # --- text
+
+    def _end_run(self) -> None:
+        text, self.run = "".join(self.run), []
+        if text and not text.strip(" \t\n\r\f"):
+            text = "\n" if "\n" in text else " "
+        if not text:
+            return
+        if self.title_level is not None and (self.muted is None or self.reading.items):
+            self.titles.append(text)
+        if self.muted is None:
+            for piece in self.collecting:
+                piece.add(text, len(self.open))
+
+    def handle_data(self, data: str) -> None:
+        self.run.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self._end_run()
+        if self.reading.prose and self.muted is None:  # there a remark beside a heading is read as text
+            for piece in self.collecting:
+                if piece.level == len(self.open):
+                    piece.add(data, piece.level)
+
+    # --- elements
+
+    def _context(self, tag: str, step: str, inside: int) -> str:
+        if tag in ("html", "body"):
+            return "unknown"
+        steps = [step]
+        for name, mark in reversed(self.open[inside:]):
+            if name in ("html", "body") or len(steps) == self.reading.steps:
+                break
+            steps.append(mark)
+        return " > ".join(reversed(steps))
+
+    def _kind(self, tag: str, given: dict[str, str]) -> str | None:
+        reading = self.reading
+        if tag in reading.heads:
+            return "heading_paragraph"
+        if reading.keywords and tag not in HEADINGS:
+            marks = (" ".join(given.get("class", "").split()), given.get("id", ""))
+            if any(k in m.lower().replace("-", " ").replace("_", " ") for m in marks for k in MENU_KEYWORDS):
+                return "specials_section"
+        if reading.items and tag == "li" and all(name != "li" for name, _ in self.open):
+            return "list_item"
+        return None
+
+    def _begin(self, tag: str, attrs: list[tuple[str, str | None]], stays: bool) -> None:
+        self._end_run()
+        level = len(self.open)
+        given = {k: v or "" for k, v in attrs}
+        classes = given.get("class", "").split()
+        step = tag + (f"#{given['id']}" if given.get("id") else f".{classes[0]}" if classes else "")
+        if tag == "title" and self.titles is None and (self.muted is None or self.reading.items):
+            self.titles, self.title_level = [], level
+        if self.muted is None and tag in self.reading.chrome:
+            if not stays:
+                return
+            self.muted = level
+        if self.muted is None:
+            self._read(tag, given, step, level)
+        if stays:
+            self.open.append((tag, step))
+        else:
+            self._settle()
+
+    def _read(self, tag: str, given: dict[str, str], step: str, level: int) -> None:
+        if tag in self.reading.ends:
+            self.collecting = [p for p in self.collecting if not p.level == p.until == level]
+        for piece in self.collecting:
+            if piece.level == level:
+                piece.parts.append([])
+            elif tag == "br" and not self.reading.prose:
+                piece.add("\n", level)
+        kind = self._kind(tag, given)
+        if kind is not None:
+            contexts = {a: self._context(tag, step, inside) for a, inside in self.areas.items() if inside is not None}
+            piece = _Piece(kind, level, kind == "heading_paragraph", contexts)
+            self.pieces.append(piece)
+            self.collecting.append(piece)
+        content = "." if re.search(CONTENT_CLASSES, given.get("class", ""), re.IGNORECASE) else ""
+        for area in (tag, content):
+            if area in self.reading.areas:
+                self.areas.setdefault(area, level + 1)
+
+    def _settle(self) -> None:
+        """Elements were closed: so are the pieces and areas in them."""
+        level = len(self.open)
+        self.collecting = [p for p in self.collecting if p.until <= level]
+        self.areas = {a: None if inside is None or inside > level else inside for a, inside in self.areas.items()}
+        if self.muted is not None and self.muted >= level:
+            self.muted = None
+        if self.title_level is not None and self.title_level >= level:
+            self.title_level = None
 
     def handle_starttag(self, tag, attrs):
-        self._flush()
-        node = self._add(_Node(tag, {k: v or "" for k, v in attrs}))
-        if tag not in VOID_TAGS:
-            self.open.append(node)
+        self._begin(tag, attrs, stays=tag not in VOID_TAGS)
 
     def handle_startendtag(self, tag, attrs):
-        self._flush()
-        self._add(_Node(tag, {k: v or "" for k, v in attrs}))
+        self._begin(tag, attrs, stays=False)
 
     def handle_endtag(self, tag):
-        self._flush()
-        if any(n.name == tag for n in self.open):
-            while self.open.pop().name != tag:
-                pass
-
-
-def _plain(node) -> str:
-    """Stripped strings joined by blanks."""
-    return " ".join(s.strip() for s in node.strings() if s.strip())
-
-
-def _block_text(node) -> str:
-    return " ".join("\n" if n.name == "br" else n.text for n in node.walk() if n.name in ("#text", "br"))
-
-
-def _item_text(heading) -> list[str]:
-    """Text of a heading and of what follows it up to the next heading."""
-    parts = [_block_text(heading)]
-    for node in heading.following():
-        if node.name in HEADINGS:
-            break
-        if node.name == "#text":
-            parts.append(node.text.strip())
-        elif node.name != "#comment":
-            parts.append(_block_text(node))
-    return parts
-
-
-def _path(node, stop, steps: int) -> str:
-    out = []
-    while node is not None and node is not stop and node.name not in ("#root", "html", "body"):
-        classes = node.attrs.get("class", "").split()
-        mark = f"#{node.attrs['id']}" if node.attrs.get("id") else f".{classes[0]}" if classes else ""
-        out.append(node.name + mark)
-        node = node.parent
-    return " > ".join(out[::-1][-steps:])
-
-
-def _piece(kind, parts, path):
-    return {"kind": kind, "parts": parts, "html_context": path}
-
-
-def _title(root) -> str:
-    node = root.find("title")
-    return "".join(node.strings()).strip() if node else ""
-
-
-def _article_pieces(markup: str, heading_tags: tuple[str, ...]):
-    root = _Tree(markup).root
-    title = _title(root)
-    root.drop(ARTICLE_CHROME)
-    marked = (n for n in root.walk() if re.search(CONTENT_CLASSES, n.attrs.get("class", ""), re.IGNORECASE))
-    area = root.find("article") or next(marked, None) or root.find("main") or root.find("body") or root
-    pieces = []
-    for node in area.walk():
-        if node.name in heading_tags:
-            pieces.append(_piece("heading_paragraph", _item_text(node), _path(node, area, 3) or node.name))
-        elif node.name == "li" and not _inside(node, "li"):
-            pieces.append(_piece("list_item", [_block_text(node)], _path(node, area, 3) or node.name))
-    return title, pieces
-
-
-def _inside(node, name) -> bool:
-    while node.parent is not None:
-        node = node.parent
-        if node.name == name:
-            return True
-    return False
-
-
-def _menu_pieces(markup: str, _tags):
-    root = _Tree(markup).root
-    root.drop(MENU_CHROME)
-    marked, headed = [], []
-    for node in root.walk():
-        if node.name in HEADINGS:
-            if any(k in " ".join(node.strings()).lower() for k in MENU_KEYWORDS):
-                headed.append(_piece("heading_paragraph", _item_text(node), _path(node, None, 4) or "unknown"))
-            continue
-        for attr in ("class", "id"):
-            value = " ".join(node.attrs.get(attr, "").split()) if attr == "class" else node.attrs.get(attr, "")
-            value = value.lower().replace("-", " ").replace("_", " ")
-            if any(k in value for k in MENU_KEYWORDS):
-                marked.append(_piece("specials_section", [_block_text(node)], _path(node, None, 4) or "unknown"))
-                break
-    return _title(root), marked + headed
-
-
-def _listing_pieces(markup: str, _tags):
-    root = _Tree(markup).root
-    root.drop(LISTING_CHROME)
-    area = root.find("article") or root.find("main") or root.find("body")
-    pieces = []
-    for node in area.walk() if area else ():
-        if node.name in ("h2", "h3"):
-            rest = []
-            for sibling in node.following():
-                if sibling.name in ("h1", "h2", "h3"):
-                    break
-                rest.append(sibling.text.strip() if sibling.text is not None else _plain(sibling))
-            pieces.append(_piece(_plain(node), rest, ""))
-    return "", pieces
-
-
-_WALKS = {"menu_page": _menu_pieces, "blog_listing": _article_pieces, "listing": _listing_pieces}
+        self._end_run()
+        place = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if place is not None:
+            del self.open[place:]
+            self._settle()
+
+    # --- result
+
+    def _text(self, part: list[str]) -> str:
+        return " ".join(t.strip() for t in part if t.strip()) if self.reading.prose else " ".join(part)
+
+    def result(self, markup: str) -> tuple[str, list[dict]]:
+        """-> (title of the page, pieces of its best area)."""
+        self.feed(markup)
+        self.close()
+        self._end_run()
+        area = next((a for a in self.reading.areas if a in self.areas), None)
+        found = []
+        for piece in self.pieces:
+            if area not in piece.contexts:
+                continue
+            parts = [self._text(p) for p in piece.parts]
+            if self.reading.keywords and piece.until == piece.level and not any(k in parts[0].lower() for k in MENU_KEYWORDS):
+                continue
+            title, parts = (parts[0], parts[1:]) if self.reading.prose else (piece.kind, parts)
+            found.append({"kind": title, "parts": parts, "html_context": piece.contexts[area]})
+        if self.reading.keywords:
+            found.sort(key=lambda p: p["kind"] == "heading_paragraph")  # marked elements come before headings
+        return "".join(self.titles or []).strip(), found
+
+
+def _reading(kind: str, heads: tuple[str, ...]) -> _Reading:
+    if kind == "menu_page":
+        return _Reading(frozenset(MENU_CHROME), ("*",), tuple(sorted(HEADINGS)), frozenset(HEADINGS), steps=4, keywords=True)
+    if kind == "blog_listing":
+        return _Reading(frozenset(ARTICLE_CHROME), ("article", ".", "main", "body", "*"), heads, frozenset(HEADINGS), steps=3, items=True)
+    if kind == "listing":
+        return _Reading(frozenset(LISTING_CHROME), ("article", "main", "body"), ("h2", "h3"), frozenset({"h1", "h2", "h3"}), steps=1, prose=True)
+    raise KeyError(kind)
+
+
 _PIECE = T.StructType().add("kind", "string").add("parts", T.ArrayType(T.StringType())).add("html_context", "string")
 _PIECES = T.StructType().add("page_title", "string").add("pieces", T.ArrayType(_PIECE))
 
 
 def _walk(html: Column, kind: str, heading_tags: tuple[str, ...]) -> Column:
-    walk = _WALKS[kind]
+    reading = _reading(kind, heading_tags)
 
     @F.pandas_udf(_PIECES)
     def pieces(markup: pd.Series) -> pd.DataFrame:
-        found = [walk(m or "", heading_tags) for m in markup]
+        found = [_Reader(reading).result(m or "") for m in markup]
         return pd.DataFrame({"page_title": [t for t, _ in found], "pieces": [p for _, p in found]})
 
     return pieces(html)
@@ -245,21 +267,25 @@ def _joined(parts: Column, separator: str) -> Column:
 
 
 def _first_by(items: Column, key) -> Column:
-    """Items of an array whose key did not occur earlier in it."""
+    """Items of an array whose key did not occur earlier in it, in their order; sorted, not compared each with each."""
 
-    def unseen(keys: Column) -> Column:
-        return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    def firsts(ordered: Column) -> Column:
+        return F.filter(ordered, lambda s, i: (i == 0) | (s["k"] != F.get(ordered, i - 1)["k"]))
 
-    return text.let(F.transform(items, key), unseen)
+    keyed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    kept = text.let(F.array_sort(keyed), firsts)
+    placed = F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
+    return F.transform(placed, lambda s: s["x"])
 
 
 def pages_to_blocks(
-    pages: DataFrame, kind: str = "blog_listing", heading_tags: tuple[str, ...] = ("h2", "h3")
+    pages: DataFrame, kind: str = "blog_listing", heading_tags: tuple[str, ...] = ("h2", "h3"), *, min_chars: int = MIN_BLOCK_CHARS
 ) -> DataFrame:
     """Pages (url, html) -> one row per text block, numbered in page order.
 
     ``kind`` is ``menu_page`` (elements marked as specials) or ``blog_listing`` (one block
     per heading, else per list item).  ``block_count`` is the number of blocks of the page.
+    Blocks below ``min_chars`` characters are no offers and left out; 0 keeps them all.
     """
     walked = pages.withColumn("_w", _walk(F.col("html"), kind, heading_tags))
     blocks = F.transform(
@@ -270,7 +296,7 @@ def pages_to_blocks(
             p["kind"].alias("block_type"),
         ),
     )
-    long_enough = F.filter("_b", lambda b: F.length(b["text"]) >= MIN_BLOCK_CHARS)
+    long_enough = F.filter("_b", lambda b: F.length(b["text"]) >= min_chars)
     chosen = F.col("_b")
     if kind == "blog_listing":
         headed = F.filter("_b", lambda b: b["block_type"] == "heading_paragraph")
@@ -298,8 +324,11 @@ def pages_to_blocks(
     )
 
 
-def pages_to_listings(pages: DataFrame) -> DataFrame:
-    """Pages (stem, url, html) -> flat listings, one per usable h2/h3 heading."""
+def pages_to_listings(pages: DataFrame, *, title_chars: tuple[int, int] = TITLE_CHARS) -> DataFrame:
+    """Pages (stem, url, html) -> flat listings, one per usable h2/h3 heading; the first of each id on a page.
+
+    Headings outside ``title_chars`` or of a page's own business name no offer.
+    """
     walked = pages.withColumn("_w", _walk(F.col("html"), "listing", ()))
     items = F.transform(
         "_w.pieces",
@@ -309,7 +338,7 @@ def pages_to_listings(pages: DataFrame) -> DataFrame:
         ),
     )
     usable = F.filter(
-        items, lambda x: F.length(x["title"]).between(5, 250) & ~text.has(x["title"], f"({SKIPPED_TITLES})")
+        items, lambda x: F.length(x["title"]).between(*title_chars) & ~text.has(x["title"], f"({SKIPPED_TITLES})")
     )
     first = _first_by(F.col("_items"), lambda x: title_slug(x["title"]))
     out = (
