@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .reports import REPORT_TYPES
-from .skew import running_counts
+from .skew import running_counts, running_counts_scan
 
 # --- fixed values -----------------------------------------------------------------
 INCORRECT_THRESHOLD = 3
@@ -16,11 +16,15 @@ UNKNOWN_SCORE = 0.5
 # ----------------------------------------------------------------------------------
 
 
-def running_reports(events: DataFrame, prior: DataFrame | None = None, chunk: Column | None = None) -> DataFrame:
+def running_reports(
+    events: DataFrame, prior: DataFrame | None = None, chunk: Column | None = None, *, rows_per_part: int | None = None
+) -> DataFrame:
     """Report events with the counts of both types so far on their deal, in event order.
 
     ``prior`` (deal_id, n_incorrect, n_expired) holds counts from before these events.
     ``chunk`` cuts the history of a deal into pieces that one task can sort; an hour by default.
+    With ``rows_per_part`` pieces are bounded in rows instead, for deals with very many reports
+    at one time; this reads and writes the reports once more.
     """
     reports = events.filter(F.col("event_type").isin(*REPORT_TYPES) & F.col("deal_id").isNotNull()).select(
         "event_id", "event_type", "deal_id", "created_at"
@@ -29,9 +33,11 @@ def running_reports(events: DataFrame, prior: DataFrame | None = None, chunk: Co
         "n_incorrect": F.col("event_type") == REPORT_TYPES[0],
         "n_expired": F.col("event_type") == REPORT_TYPES[1],
     }
-    counted = running_counts(
-        reports, "deal_id", ["created_at", "event_id"], F.date_trunc("hour", "created_at") if chunk is None else chunk, flags
-    )
+    order = ["created_at", "event_id"]
+    if rows_per_part is None:
+        counted = running_counts(reports, "deal_id", order, F.date_trunc("hour", "created_at") if chunk is None else chunk, flags)
+    else:
+        counted = running_counts_scan(reports, "deal_id", order, flags, rows_per_part)
     if prior is None:
         return counted
     earlier = prior.select("deal_id", F.col("n_incorrect").alias("_i"), F.col("n_expired").alias("_e"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_TASK = 2_000_000
 
 
@@ -83,6 +85,33 @@ def running_counts(
     )
 
 
+def range_parts(df: DataFrame, key: str, order: list[str], rows_per_part: int) -> DataFrame:
+    """Rows dealt into ranges of (key, order) of about ``rows_per_part`` rows, with the number of the range as ``_part``.
+
+    A key with many rows spans several ranges, however close its rows lie in order.  The rows are written once, so that
+    all that follows sees the same ranges.
+    """
+    parts = max(1, -(-df.count() // rows_per_part))
+    return cut_lineage(df.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running_counts_scan(df: DataFrame, key: str, order: list[str], flags: dict[str, Column], rows_per_part: int = ROWS_PER_TASK) -> DataFrame:
+    """``running_counts`` as a prefix scan: counts within each range, after the sums of the key's earlier ranges.
+
+    Rows that agree in key and order lie in one range; no task holds more than a range.
+    """
+    flagged = df.withColumns({n: F.coalesce(f, F.lit(False)).cast("long") for n, f in flags.items()})
+    placed = range_parts(flagged, key, order, rows_per_part)
+    sums = placed.groupBy(key, "_part").agg(*[F.sum(n).alias(f"_sum_{n}") for n in flags])
+    earlier = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(
+        key, "_part", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in flags]
+    )
+    within = W.partitionBy("_part", key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = placed.join(carried, [key, "_part"])
+    return out.select(*df.columns, *[(F.sum(n).over(within) + F.col(f"_before_{n}")).alias(n) for n in flags])
+
+
 def previous_value(df: DataFrame, keys: list[str], order: str, value: str, chunk: Column, alias: str) -> DataFrame:
     """``value`` of the preceding row of the key; the two-level form of ``lag`` (see above)."""
     base = df.withColumn("_chunk", chunk)

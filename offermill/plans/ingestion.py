@@ -315,6 +315,17 @@ def report_actions(t):
     return out.select("event_id", "deal_id", "n_incorrect", "n_expired", "demote", "expire")
 
 
+@query(
+    f"""{_RUNNING_SQL.replace("event_log WHERE", "(SELECT * REPLACE (date_trunc('month', created_at) AS created_at, deal_id % 7 AS deal_id) FROM event_log) WHERE")}
+    SELECT event_id, deal_id, n_incorrect, n_expired, n_incorrect >= 3 AS demote, n_expired >= 3 AS expire FROM running"""
+)
+def report_actions_scan(t):
+    """Seven deals with all their reports at one instant, counted in ranges of 200 rows."""
+    events = t.event_log.withColumns({"created_at": F.date_trunc("month", "created_at"), "deal_id": F.col("deal_id") % 7})
+    out = feedback.report_actions(feedback.running_reports(events, rows_per_part=200))
+    return out.select("event_id", "deal_id", "n_incorrect", "n_expired", "demote", "expire")
+
+
 @query(
     f"""{_RUNNING_SQL}, acts AS (SELECT deal_id, count(*) FILTER (n_incorrect >= 3) AS n, bool_or(n_expired >= 3) AS x FROM running GROUP BY deal_id)
     SELECT id, CASE WHEN coalesce(n, 0) > 0 THEN greatest(round(coalesce(quality_score, 0.5) - 0.3 * n, 3), 0) ELSE quality_score END AS quality_score,
