@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, price, scores, text
+from ..session import cut_lineage
 from .normalize import ingest_fields
 from .ranking import rank_stored
 from .skew import previous_value, side_by_side
@@ -262,7 +263,7 @@ def upsert_venues(
     )
     mapped = mappings.filter(F.col("source_id") == source_id).select("external_id", F.col("venue_id").alias("_mapped"))
     by_slug = venues.select("slug", F.col("id").alias("_by_slug"))
-    placed = (
+    placed = cut_lineage(  # every output reads it
         rows.join(mapped, "external_id", "left")
         .join(by_slug, "slug", "left")
         .withColumn("venue_id", F.coalesce("_mapped", "_by_slug", hashing.row_id(F.col("slug"))))
@@ -334,19 +335,20 @@ def ingest_venue_batch(
     """Venue path for one source and city -> (next state, actions per listing row).
 
     Unchanged listings only have last_seen_at bumped; changed ones are normalized, upserted,
-    ranked and logged.  Schedules are written on insert only.
+    ranked and logged.  Schedules are written on insert only.  The marked and the normalized
+    batch are written once, and all outputs are made from them.
     """
     at = F.lit(now).cast("timestamp")
     venues, mappings, placed = upsert_venues(state.venues, state.mappings, feed, source_id, city_id, now)
     meta = F.from_json("raw_data", "struct<venue_external_id:string,discount_pct:double>")
     batch = with_payload(listings.withColumn("source_id", F.lit(source_id).cast("long")))
-    marked = mark_changed(batch, state.deals_raw)
+    marked = cut_lineage(mark_changed(batch, state.deals_raw))
     changed, unchanged = marked.filter("changed"), marked.filter(~F.col("changed"))
 
     where = placed.select(F.col("external_id").alias("_ext"), "venue_id").join(
         venues.select(F.col("id").alias("venue_id"), F.col("image_url").alias("_venue_image")), "venue_id", "left"
     )
-    fields = (
+    fields = cut_lineage(
         ingest_fields(changed, replies)
         .withColumn("_meta", meta)
         .withColumn("_ext", F.col("_meta.venue_external_id"))
