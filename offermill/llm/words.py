@@ -7,6 +7,7 @@ the word alone, so they agree between tasks and runs.
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -24,6 +25,7 @@ _BASE = _U(0x9E3779B97F4A7C15)
 
 
 Batches = Iterator[pa.RecordBatch]
+RELEASE_SECONDS = 1.0
 
 # What the tasks of one Python worker keep for later ones.  Workers outlive their tasks, so it has to go when others run.
 MEMORY: dict[str, dict] = {}
@@ -46,7 +48,12 @@ def lean(run: Callable[[Batches], Batches], keep: str | None = None) -> Callable
         for name in MEMORY.keys() - {keep}:
             del MEMORY[name]
         _release()
-        yield from run(batches)
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            if time.monotonic() - last > RELEASE_SECONDS:
+                _release()
+                last = time.monotonic()
         _release()
 
     return bounded
