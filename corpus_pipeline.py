@@ -15,6 +15,8 @@ from offermill.llm import decontaminate, factorization, jaccard_join, mixing, to
 from offermill.llm.registry import table
 from offermill.session import ensure_checkpoint_dir, ship_package
 
+ROWS_PER_BATCH = "2000"  # whole documents in an Arrow batch, so that a batch stays at a few megabytes on both sides
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +26,7 @@ def _prepared(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
         ship_package(spark)
         ensure_checkpoint_dir(spark)
         return stage(spark, docs, sf_dir)
@@ -33,25 +36,34 @@ def _prepared(stage: Stage) -> Stage:
 
 @_prepared
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labels of the documents given."""
+    """Documents that the classifier accepts; it learns from the labels of the documents given.
+
+    Null and empty texts are scored like any other; repeated rows are judged alike; an empty table gives no rows.
+    """
     return factorization.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 @_prepared
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates, the one with the smallest id."""
+    """One document of every group of near duplicates, the one with the smallest id.
+
+    Null and empty texts are near nothing and stay; of rows that repeat an id one stays, rows without an id all stay.
+    """
     return jaccard_join.one_per_group(docs)
 
 
 @_prepared
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, an empty benchmark takes nothing out."""
     return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 @_prepared
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document comes as often as it is taken."""
+    """Sources at their target weights; a document comes as often as it is taken, one without words never.
+
+    Null sources are one source.
+    """
     return mixing.mixed(docs)
 
 
