@@ -60,9 +60,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_prepared
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document comes as often as it is taken, one without words never.
+    """Sources at their target weights; a document comes as often as it is taken.
 
-    Null sources are one source.
+    Null sources are one source, a source without words is not taken from; repeated rows are documents of their own.
     """
     return mixing.mixed(docs)
 
