@@ -40,6 +40,7 @@ HOT = 64
 LEAF = 64
 PIVOT_ROUNDS = 1
 BROADCAST_ROWS = 2_000_000
+RUN_BYTES = 512 << 10  # of text that a worker takes apart at a time
 
 
 def _ceil_percent(n, percent):
@@ -48,7 +49,7 @@ def _ceil_percent(n, percent):
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row."""
-    for lo, _, words in word_runs(column):
+    for lo, _, words in word_runs(column, RUN_BYTES):
         hashes, bounds = words.shingles(WIDTH)
         for i in range(len(bounds) - 1):
             found = np.sort(hashes[bounds[i]:bounds[i + 1]])

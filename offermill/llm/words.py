@@ -174,6 +174,6 @@ def windows(column: pa.Array, limit: int = WINDOW_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def word_runs(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
-    for lo, hi in windows(column):
+def word_runs(column: pa.Array, limit: int = WINDOW_BYTES) -> Iterator[tuple[int, int, Words]]:
+    for lo, hi in windows(column, limit):
         yield lo, hi, Words(*raw_texts(column.slice(lo, hi - lo)))
