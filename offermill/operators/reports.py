@@ -116,11 +116,10 @@ def report_events(events: DataFrame, deals: DataFrame, cities: DataFrame, city_s
     if not city_slug:
         return reports
     city = cities.filter(F.col("slug") == city_slug).select(F.col("id").alias("city_id"))
-    if city.isEmpty():
-        return reports
+    known = city.agg(F.count(F.lit(1))).scalar()
     # A slug names one city, so this side is one row.
-    in_city = deals.join(F.broadcast(city), "city_id", "left_semi").select(F.col("id").alias("deal_id"))
-    return reports.join(in_city, "deal_id", "left_semi")
+    in_city = deals.join(F.broadcast(city), "city_id", "left_semi").select(F.col("id").alias("deal_id"), F.lit(True).alias("_here"))
+    return reports.join(in_city, "deal_id", "left").filter(F.col("_here") | (known == 0)).drop("_here")
 
 
 def reports_per_deal(reports: DataFrame) -> DataFrame:
