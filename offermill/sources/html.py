@@ -232,10 +232,12 @@ class _Reader(HTMLParser):
         return "".join(self.titles or []).strip(), found
 
 
-def _reading(kind: str, heads: tuple[str, ...]) -> _Reading:
+def _reading(kind: str, heads: tuple[str, ...] | None) -> _Reading:
     if kind == "menu_page":
-        return _Reading(frozenset(MENU_CHROME), ("*",), tuple(sorted(HEADINGS)), frozenset(HEADINGS), steps=4, keywords=True)
+        heads = tuple(sorted(HEADINGS)) if heads is None else heads
+        return _Reading(frozenset(MENU_CHROME), ("*",), heads, frozenset(HEADINGS), steps=4, keywords=True)
     if kind == "blog_listing":
+        heads = ("h2", "h3") if heads is None else heads
         return _Reading(frozenset(ARTICLE_CHROME), ("article", ".", "main", "body", "*"), heads, frozenset(HEADINGS), steps=3, items=True)
     if kind == "listing":
         return _Reading(frozenset(LISTING_CHROME), ("article", "main", "body"), ("h2", "h3"), frozenset({"h1", "h2", "h3"}), steps=1, prose=True)
@@ -246,7 +248,7 @@ _PIECE = T.StructType().add("kind", "string").add("parts", T.ArrayType(T.StringT
 _PIECES = T.StructType().add("page_title", "string").add("pieces", T.ArrayType(_PIECE))
 
 
-def _walk(html: Column, kind: str, heading_tags: tuple[str, ...]) -> Column:
+def _walk(html: Column, kind: str, heading_tags: tuple[str, ...] | None) -> Column:
     reading = _reading(kind, heading_tags)
 
     @F.pandas_udf(_PIECES)
@@ -279,12 +281,14 @@ def _first_by(items: Column, key) -> Column:
 
 
 def pages_to_blocks(
-    pages: DataFrame, kind: str = "blog_listing", heading_tags: tuple[str, ...] = ("h2", "h3"), *, min_chars: int = MIN_BLOCK_CHARS
+    pages: DataFrame, kind: str = "blog_listing", heading_tags: tuple[str, ...] | None = None, *, min_chars: int = MIN_BLOCK_CHARS
 ) -> DataFrame:
     """Pages (url, html) -> one row per text block, numbered in page order.
 
     ``kind`` is ``menu_page`` (elements marked as specials) or ``blog_listing`` (one block
-    per heading, else per list item).  ``block_count`` is the number of blocks of the page.
+    per heading, else per list item).  ``heading_tags`` are the headings that begin a block: by
+    default h1 to h4 with a keyword on a menu page, h2 and h3 in a blog; none leaves the marked
+    elements or list items alone.  ``block_count`` is the number of blocks of the page.
     Blocks below ``min_chars`` characters are no offers and left out; 0 keeps them all.
     """
     walked = pages.withColumn("_w", _walk(F.col("html"), kind, heading_tags))

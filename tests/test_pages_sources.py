@@ -176,3 +176,10 @@ def test_page_blocks_short_and_cut(spark, tmp_path):
 def test_page_listings_cut_reference(spark, tmp_path):
     row = QUERIES["page_listings"](spark, page_table(spark, tmp_path, CUT_PAGE)).first()
     assert (row.title, row.description) == ("Fish deal & a&amp", "x") and row.source_deal_id == "fix-0-fish-deal-a-amp"
+
+
+def test_page_menu_blocks_without_headings(spark, tmp_path):
+    """A heading that holds a keyword by chance is no advert box."""
+    rows = QUERIES["page_menu_blocks"](spark, page_table(spark, tmp_path, CUT_PAGE)).collect()
+    assert [(r.block_count, r.text) for r in rows] == [(1, "A long enough advert of the house")]
+    assert html.pages_to_blocks(pages(spark, MENU), "menu_page", ()).count() == 1
