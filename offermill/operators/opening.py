@@ -44,6 +44,29 @@ def week_bitmaps(ranges: DataFrame) -> DataFrame:
     return spelled.groupBy("week").agg(F.bitmap_construct_agg(F.bitmap_bit_position(number.cast("long"))).alias("minutes"))
 
 
+def deal_hours(schedules: DataFrame) -> DataFrame:
+    """(id, hours): the different hours of a deal in one row, so that many instants can be put to it without a join each.
+
+    The times are parsed here, once.  A deal's hours make one value: for deals with very many date ranges take ``open_each``.
+    """
+    whole = (F.coalesce("start_time", F.lit("")) == "") | (F.coalesce("end_time", F.lit("")) == "")
+    first = F.when(whole, 0).otherwise(schedule.minutes(F.col("start_time")))
+    last = F.when(whole, DAY_MINUTES).otherwise(schedule.minutes(F.col("end_time")))
+    held = F.struct("day_of_week", first.alias("first"), last.alias("last"), "valid_from", "valid_until")
+    return schedules.groupBy(F.col("deal_id").alias("id")).agg(F.collect_set(held).alias("hours"))
+
+
+def open_in(hours: Column, at: Column) -> Column:
+    """Whether one of the hours of ``deal_hours`` covers the instant; NULL without hours."""
+    minute, day = F.hour(at) * 60 + F.minute(at), F.weekday(at)
+
+    def covers(s: Column) -> Column:
+        dated = (s["valid_from"].isNull() | (at >= s["valid_from"])) & (s["valid_until"].isNull() | (at <= s["valid_until"]))
+        return F.coalesce(dated & (s["day_of_week"].isNull() | (s["day_of_week"] == day)) & minute.between(s["first"], s["last"]), F.lit(False))
+
+    return F.exists(hours, covers)
+
+
 def open_each(asked: DataFrame, schedules: DataFrame) -> DataFrame:
     """(id, at) -> also is_open_now, for each different deal and instant that has schedules."""
     wanted = asked.select("id", "at").distinct()

@@ -34,3 +34,15 @@ def test_equals_the_schedule_rules(spark):
 def test_nothing_asked(spark):
     schedules = spark.createDataFrame([], SCHEDULE)
     assert opening.open_each(spark.createDataFrame([(1, datetime.datetime(2024, 1, 1))], "id long, at timestamp"), schedules).count() == 0
+
+
+def test_hours_of_a_deal(spark):
+    """``open_in`` over ``deal_hours`` gives what ``open_each`` gives, one row per row asked and no aggregate after the join."""
+    start = datetime.datetime(2024, 6, 3)
+    when = lambda: R.choice([None, None, start + datetime.timedelta(minutes=R.randrange(20_000))])
+    times = [None, "", "00:00", "09:30", "12:01", "23:59", "24:00", "7:5"]
+    schedules = spark.createDataFrame([(R.randrange(40), R.choice([None, 0, 3, 6, 9]), R.choice(times), R.choice(times), when(), when()) for _ in range(300)], SCHEDULE)
+    asked = spark.createDataFrame([(d, start + datetime.timedelta(minutes=R.randrange(20_000))) for d in [*range(45)] * 20], "id long, at timestamp").distinct()
+    joined = asked.join(opening.deal_hours(schedules), "id")
+    got = joined.select("id", "at", opening.open_in(F.col("hours"), F.col("at")).alias("o"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, opening.open_each(asked, schedules).select("id", "at", "is_open_now").collect()))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offermill.functions import geo
-from offermill.operators import quadtree
+from offermill.operators import quadtree, ranking
 
 R = random.Random(12)
 
@@ -63,3 +63,16 @@ def test_nothing_on_either_side(spark):
     assert quadtree.within_radius(p, d).count() == 0
     one = spark.createDataFrame([(1, 0.0, 0.0)], "id long, lat double, lon double")
     assert quadtree.within_radius(p.limit(0), one).count() == 0 and quadtree.within_radius(p, one).count() == 1
+
+
+def test_equal_circles_are_answered_once(spark):
+    """Points that agree in all but their id share one answer; nulls agree with nulls."""
+    points = spark.createDataFrame([(1, 1.0, None), (2, 1.0, None), (3, 2.0, "a"), (4, 2.0, "b")], "query_id long, q_lat double, wish string")
+    asked = []
+
+    def answer(leaders):
+        asked.extend(leaders.collect())
+        return leaders.select("query_id", F.col("q_lat").alias("x"))
+
+    got = ranking.once_per_circle(points, answer).orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [(1, 1.0), (2, 1.0), (3, 2.0), (4, 2.0)] and len(asked) == 3
