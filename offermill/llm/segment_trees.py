@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -176,10 +177,10 @@ _PRICED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa
 def _block_distances(key: tuple, rows: pa.Table) -> pa.Table:
     """Distances within one block between the sources of two tiles (or of one), both ways round."""
     lang, _, one, two = (k.as_py() for k in key)
-    marks = rows.filter(pa.compute.is_null(rows["term"])).sort_by("source")
+    marks = rows.filter(pc.is_null(rows["term"])).sort_by("source")
     names, tiles, totals = (marks[c].to_pylist() for c in ("source", "tile", "total"))
     place = {name: i for i, name in enumerate(names)}
-    found = rows.filter(pa.compute.is_valid(rows["term"]))
+    found = rows.filter(pc.is_valid(rows["term"]))
     codes = found["term"].combine_chunks().dictionary_encode()
     code = np.asarray(codes.indices, dtype=np.int64)
     weight = np.zeros(len(codes.dictionary), dtype=np.int64)
