@@ -1,6 +1,6 @@
 """Streaming jobs whose state is kept per key in the RocksDB state store.
 
-The cost of a micro-batch depends on its own rows only: nothing that earlier batches left is read again.
+The cost of a micro-batch depends on its own keys: of what earlier batches left, only their state is read again.
 
 Report counts run over two queries, because a deal may be reported without end and a task should never hold it whole:
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -158,39 +160,62 @@ def report_actions(spark: SparkSession, root: str, *, interval: str | None = Non
 # --- changes ----------------------------------------------------------------------
 
 HASHED = ["source_id", "source_deal_id", "seq", "content_hash"]
-CHANGED = "source_id bigint, source_deal_id string, seq bigint, content_hash string, changed boolean"
+CHANGED = "source_id string, source_deal_id string, seq bigint, content_hash string, changed boolean"
+HASH_BUCKETS = 1024
+NO_SEQ = -(2**63)
+STATE = pa.schema([(n, pa.string()) for n in ("source_id", "source_deal_id", "content_hash")])
+
+
+def _strings(column: pd.Series) -> list[str | None]:
+    return column.astype(object).where(column.notna(), None).tolist()
 
 
 class LastHash(StatefulProcessor):
-    """Rows of one listing key with ``changed`` against the hash before them; the state is the last hash.
+    """Rows of the listing keys of one bucket with ``changed`` against the hash before them; the state is the last hash
+    of every key, in one value per bucket.
 
-    Within a micro-batch rows go by ``seq``.  A row whose hash equals the one before is not written to the state.
+    A call to the state store costs far more than a row, so a bucket is read and written once per micro-batch.  Within a
+    micro-batch rows go by ``seq``.  A bucket in which no hash changes is not written.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content_hash string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.last.get()
-        last = before = stored[0] if stored else None
-        for row in sorted(rows, key=lambda r: r.seq):
-            yield Row(source_id=key[0], source_deal_id=key[1], seq=row.seq, content_hash=row.content_hash, changed=row.content_hash != last)
-            last = row.content_hash
-        if last != before:
-            self.last.update((last,))
+        self.held = handle.getValueState("held", "hashes binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.held.get()
+        last: dict[tuple, str | None] = {}
+        if stored:
+            ids, deals, hashes = pa.ipc.open_stream(bytes(stored[0])).read_all().to_pydict().values()
+            last = dict(zip(zip(ids, deals), hashes))
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        changed = []
+        for listing, found in zip(zip(_strings(batch["source_id"]), _strings(batch["source_deal_id"])), _strings(batch["content_hash"])):
+            changed.append(found != last.get(listing))
+            last[listing] = found
+        yield batch[HASHED].assign(changed=changed)
+        if any(changed):
+            columns = [[k[0] for k in last], [k[1] for k in last], list(last.values())]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, STATE) as out:
+                out.write_table(pa.table(dict(zip(STATE.names, columns)), schema=STATE))
+            self.held.update((sink.getvalue().to_pybytes(),))
 
     def close(self) -> None:
         pass
 
 
-def changes(hashed: DataFrame, root: str, *, interval: str | None = None) -> StreamingQuery:
+def changes(hashed: DataFrame, root: str, *, buckets: int = HASH_BUCKETS, interval: str | None = None) -> StreamingQuery:
     """Rows (source_id, source_deal_id, seq, content_hash) -> ``{root}/changes`` with ``changed``.
 
-    A listing that turns from A to B and back to A has changed twice, in one micro-batch or over several.  The rows of
-    one key in one micro-batch are held by one task: bound a micro-batch at its source (``maxFilesPerTrigger``).
+    A listing that turns from A to B and back to A has changed twice, in one micro-batch or over several.  Keys lie in
+    ``buckets`` by their hash, and that number must stay for the life of a checkpoint: a micro-batch reads and writes the
+    buckets of its own keys.  The rows of one bucket in one micro-batch are held by one task: bound a micro-batch at its
+    source (``maxFilesPerTrigger``).  Rows without ``seq`` come first.
     """
     _prepared(hashed.sparkSession)
-    marked = hashed.select(*HASHED).groupBy("source_id", "source_deal_id").transformWithState(
-        LastHash(), outputStructType=CHANGED, outputMode="Append", timeMode="None"
-    )
-    return _started(marked.writeStream.format("parquet").option("path", f"{root}/changes"), f"{root}/checkpoint-changes", interval)
+    bucket = F.pmod(F.xxhash64("source_id", "source_deal_id"), F.lit(buckets)).cast("int").alias("bucket")
+    # pandas has no long with nulls, so ids go as text and a missing seq as the smallest long
+    rows = hashed.select(bucket, F.col("source_id").cast("string"), "source_deal_id", F.coalesce("seq", F.lit(NO_SEQ)).alias("seq"), "content_hash")
+    marked = rows.groupBy("bucket").transformWithStateInPandas(LastHash(), outputStructType=CHANGED, outputMode="Append", timeMode="None")
+    out = marked.withColumns({"source_id": F.col("source_id").cast("bigint"), "seq": F.nullif("seq", F.lit(NO_SEQ))})
+    return _started(out.writeStream.format("parquet").option("path", f"{root}/changes"), f"{root}/checkpoint-changes", interval)

@@ -71,3 +71,23 @@ def test_changes_there_and_back(spark, tmp_path):
         keyed.changes(spark.readStream.schema(HASHED).parquet(f"{folder}/*"), root).awaitTermination()
     got = {x.seq: x.changed for x in spark.read.parquet(f"{root}/changes").collect()}
     assert got == dict(zip(range(1, 14), [True, True, True, True, False, True, True, True, True, False, False, True, False]))
+
+
+def test_changes_keep_one_state_per_bucket(spark, tmp_path):
+    """Calls to the state store go with the buckets, not with the listings; odd keys and hashes count as before."""
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    r = random.Random(2)
+    sources, names = [None, 2**53, 2**53 + 1, -1], [None, "", "a", *(f"d{i}" for i in range(400))]
+    batches = [[(r.choice(sources), r.choice(names), 10_000 * b + i, r.choice(["A", "B", None])) for i in range(1500)] for b in range(3)]
+    for number, batch in enumerate(batches):
+        land(spark, folder, number, r.sample(batch, len(batch)), HASHED)
+        stream = spark.readStream.schema(HASHED).parquet(f"{folder}/*")
+        query = keyed.changes(stream, root, buckets=16)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16
+    last, want = {}, []
+    for source, name, seq, found in (row for batch in batches for row in batch):
+        want.append((source, name, seq, found, found != last.get((source, name))))
+        last[source, name] = found
+    got = spark.read.parquet(f"{root}/changes").select(*keyed.HASHED, "changed").collect()
+    assert sorted(map(tuple, got), key=lambda x: x[2]) == want
