@@ -26,11 +26,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import ship_package
 
-SEGMENT_BYTES = 64 << 20
+SEGMENT_BYTES = 8 << 20
 LOOK_BACK = 4096
 SCHEMA = "file string, file_number int, position bigint, captures array<string>, element string"
 POSITION_BITS, FILE_BITS = 36, 18  # of a sequence number; the rest is for the feed
 
+_BRACKET = np.isin(np.arange(256), np.frombuffer(b"{}[]", dtype=np.uint8))
+
 Container = tuple[str, str | None]  # "{" or "[", and the key it stands under
 
 
@@ -61,12 +63,17 @@ class Piece:
         self.data, self.start, self.pad = data, start, start - low
         raw = np.frombuffer(data, dtype=np.uint8)
         quotes = np.flatnonzero(raw == 34)
-        plain = np.where(raw != 92, np.arange(len(raw)), -1)
-        last_plain = np.maximum.accumulate(plain) if len(raw) else plain
-        run = np.where(quotes > 0, quotes - 1 - last_plain[quotes - 1], 0)
-        self.quotes = quotes[run % 2 == 0]
+        slashes = np.flatnonzero(raw == 92)
+        count = np.arange(len(slashes))
+        run = count - np.maximum.accumulate(np.where(np.diff(slashes, prepend=-2) != 1, count, 0)) + 1 if len(slashes) else slashes
+        last = np.searchsorted(slashes, quotes) - 1  # backslash before each quote
+        escaped = np.zeros(len(quotes), dtype=bool)
+        near = np.flatnonzero(last >= 0)
+        near = near[slashes[last[near]] == quotes[near] - 1]
+        escaped[near] = run[last[near]] % 2 == 1
+        self.quotes = quotes[~escaped]
         self.inner = self.quotes[self.quotes >= self.pad]
-        marks = np.flatnonzero(np.isin(raw[self.pad:], np.frombuffer(b"{}[]", dtype=np.uint8))) + self.pad
+        marks = np.flatnonzero(_BRACKET[raw[self.pad:]]) + self.pad
         self.marks, self.before = marks, np.searchsorted(self.inner, marks)
 
     def events(self, in_string: bool) -> Iterator[tuple[int, str]]:
@@ -94,6 +101,17 @@ class Piece:
             return text[1:-1]
 
 
+    def outer_keys(self, in_string: bool, depth: int) -> list[str]:
+        """Keys of the outermost object whose colon lies here; ``depth`` containers are open at the start."""
+        raw = np.frombuffer(self.data, dtype=np.uint8)
+        colons = np.flatnonzero(raw[self.pad:] == 58) + self.pad
+        colons = colons[(np.searchsorted(self.inner, colons) + in_string) % 2 == 0]
+        marks = self.marks[(self.before + in_string) % 2 == 0]
+        opens = np.isin(raw[marks], np.frombuffer(b"{[", dtype=np.uint8))
+        depths = depth + np.concatenate([[0], np.cumsum(np.where(opens, 1, -1))])
+        return [self.key(at + 1) for at in colons[depths[np.searchsorted(marks, colons)] == 1].tolist()]
+
+
 def _with_keys(file: pa.NativeFile, start: int, end: int, use):
     """``use(piece)``, again with more bytes in front as long as a key lies further back."""
     look_back = LOOK_BACK
@@ -291,6 +309,28 @@ def elements(spark: SparkSession, path: str, pointer: str, *, segment_bytes: int
     return spark.read.format("json_elements").option("pointer", pointer).option("segments", listed).load()
 
 
+def _outer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            with _file(row["file"]) as file:
+                found += _with_keys(file, row["start"], row["end"], lambda p: p.outer_keys(row["in_string"], row["depth"]))  # noqa: B023
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["key"])
+
+
+def object_keys(spark: SparkSession, path: str, *, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Keys of the outermost objects of the JSON documents at ``path``, each as often as it comes.
+
+    Other documents have none, and a path without files gives no rows.
+    """
+    segments = structural_index(spark, path, segment_bytes)
+    if not segments:
+        return spark.createDataFrame([], "key string")
+    listed = [(s.file, s.start, s.end, s.in_string, len(s.stack)) for s in segments]
+    rows = spark.createDataFrame(listed, "file string, start bigint, end bigint, in_string boolean, depth int")
+    return rows.repartition(len(listed), "file", "start").mapInArrow(_outer_keys, "key string")
+
+
 def sequence_number(place_inside: Column | None = None) -> Column:
     """Order of arrival by (file, position); items of one element count on from its position."""
     at = F.col("position") if place_inside is None else F.col("position") + place_inside

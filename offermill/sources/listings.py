@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import price, schedule, text
 from ..functions.text import blank_to_null, first_match
 from ..schemas import FLAT_JSON, FORUM_POST, OFFER_JSON, RSS_ITEM
-from .json_parts import FILE_BITS, POSITION_BITS, elements, sequence_number
+from .json_parts import FILE_BITS, POSITION_BITS, elements, object_keys, sequence_number
 
 # --- fixed values -----------------------------------------------------------------
 BUSINESS_CATEGORIES = {
@@ -161,7 +161,7 @@ def read_restaurant_json(spark: SparkSession, path: str, city: str | None = None
 
 def available_cities(spark: SparkSession, *paths: str) -> DataFrame:
     """City keys of nested feeds, sorted."""
-    docs = [spark.read.text(p, wholetext=True).select(F.explode(F.json_object_keys("value")).alias("city")) for p in paths]
+    docs = [object_keys(spark, p).select(F.col("key").alias("city")) for p in paths]
     return reduce(DataFrame.unionByName, docs).distinct().orderBy("city")
 
 

@@ -80,3 +80,55 @@ def test_data_source(spark, tmp_path):
 def test_bad_pointers(pointer):
     with pytest.raises(ValueError):
         json_parts.parse_pointer(pointer)
+
+
+def test_keys_of_the_outermost_object(spark, tmp_path):
+    """Keys are found by many tasks, however the document is cut; arrays have none."""
+    document = {**nested(), 'quo"te\\': 1, "k" * 30: [{"no": {"no": 2}}], "": None, "é:{": ":"}
+    (tmp_path / "a.json").write_text(json.dumps(document, indent=1, ensure_ascii=False))
+    (tmp_path / "b.json").write_text(json.dumps([{"no": 1}]))
+    for size in (7, 100, 1 << 20):
+        found = json_parts.object_keys(spark, str(tmp_path / "a.json"), segment_bytes=size)
+        assert sorted(r.key for r in found.collect()) == sorted(document)
+        assert size > 100 or found.rdd.getNumPartitions() > 10
+    assert json_parts.object_keys(spark, str(tmp_path / "b.json"), segment_bytes=3).count() == 0
+    assert json_parts.object_keys(spark, str(tmp_path / "missing.json")).count() == 0
+
+
+def test_a_segment_takes_little_memory():
+    """Several segments are read in one executor: a segment of the usual size takes a few times its bytes."""
+    import io
+    import tracemalloc
+
+    class File(io.BytesIO):
+        def read_at(self, n, start):
+            return self.getbuffer()[start:start + n].tobytes()
+
+    text = json.dumps([{"id": i, "text": 'a "quoted" text'} for i in range(200_000)]).encode()
+    file = File((text * (json_parts.SEGMENT_BYTES // len(text) + 1))[:json_parts.SEGMENT_BYTES])
+    tracemalloc.start()
+    json_parts.Piece(file, 0, json_parts.SEGMENT_BYTES, 0)
+    assert tracemalloc.get_traced_memory()[1] < 160 << 20
+    tracemalloc.stop()
+
+
+def test_feeds_are_written_and_numbered_by_several_tasks(spark, monkeypatch):
+    from offermill.plans import feeds
+    from offermill.plans.views import view
+
+    class Tables:
+        def __init__(self):
+            self.spark = spark
+
+        def __getattr__(self, name):
+            return view(spark, "/root/testdata/sf0.001", name)
+
+    monkeypatch.setattr(feeds, "DOCUMENT_ROWS", 50)
+    t = Tables()
+    n = t.listings.count()
+    for write, part in ((feeds._flat, "["), (feeds._businesses, "{"), (feeds._rss, "<?xml")):
+        firsts = [r[0][:len(part)] for r in spark.read.text(write(t), wholetext=True).collect()]
+        assert len(firsts) > 2 and set(firsts) == {part}
+    plan = feeds.feed_flat(t)
+    assert sorted(r.place for r in plan.select("place").collect()) == list(range(1, n + 1))
+    assert plan.orderBy("place").first().source_deal_id == t.listings.orderBy("seq").first().source_deal_id
