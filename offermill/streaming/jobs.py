@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.hashing import ip_hash
 from ..operators import feedback, ingest, lifecycle, ranking, validate
 from ..operators.reports import REPORT_TYPES
+from ..session import cut_lineage
 from ..sources import tables
 
 # --- fixed values -----------------------------------------------------------------
@@ -56,7 +57,9 @@ def stream_ingest(
         now = clock(batch_id)
         deals = tables.read_version(batch.sparkSession, root, "deals", batch_id)
         out = ingest.ingest_listings(deals, batch, source_id, now)
-        following, _ = ingest.flag_url_duplicates(out["deals"], out["inserted"])
+        deals = cut_lineage(out["deals"])
+        losers = cut_lineage(ingest.url_losers(deals, out["inserted"])[0])
+        following = ingest.deactivate_losers(deals, ingest.few_broadcast(losers))
         tables.write_version(sweep(following, now) if swept else following, root, "deals", batch_id + 1)
         tables.append_batch(out["log"], root, "normalization_log", batch_id)
         tables.append_batch(out["actions"], root, "actions", batch_id)

@@ -36,7 +36,7 @@ def ingest_step(store: Store, batch: DataFrame, version: int, source_id: int, no
     losers = cut_lineage(losers)
     more = rest if swept else store.buckets_of("deals", losers) - touched
     changed = deals.unionByName(store.read("deals", version - 1, more))
-    following = ingest.deactivate_losers(changed, losers)
+    following = ingest.deactivate_losers(changed, ingest.few_broadcast(losers))
     raw = ingest.with_payload(keyed).select("source_id", "source_deal_id", "seq", "raw_payload", "content_hash", F.lit(now).cast("timestamp").alias("fetched_at"))
     return store.write(
         version,

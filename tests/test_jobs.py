@@ -262,3 +262,16 @@ def test_url_duplicates(spark):
     )
     out, stats = ingest.flag_url_duplicates(df)
     assert {r.id for r in out.filter("NOT is_active").collect()} == {2} and tuple(stats.first()) == (5, 1)
+
+
+def test_a_written_batch_is_joined_to_the_table_once(spark):
+    """The batch is aggregated and the table joined once for all results; ranks are made of the new values."""
+    target = spark.createDataFrame([(1, 9, "a", 1.0, 0.5), (2, 9, "b", 2.0, 0.5)], "id long, source_id long, source_deal_id string, price double, rank_score double")
+    batch = spark.createDataFrame([(9, "b", 5.0, 1), (9, "c", 3.0, 2), (9, "b", 7.0, 3)], "source_id long, source_deal_id string, price double, seq long")
+    after, actions = ingest.upsert(
+        target, batch, ingest.KEY, NOW, insert_stamps=(), update_stamps=(), derived={"rank_score": F.col("price") * 10}, write_batch=True
+    )
+    assert {r.source_deal_id: (r.price, r.rank_score) for r in after.collect()} == {"a": (1.0, 0.5), "b": (7.0, 70.0), "c": (3.0, 30.0)}
+    assert {r.source_deal_id: r.action for r in actions.collect()} == {"b": "updated", "c": "inserted"}
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
