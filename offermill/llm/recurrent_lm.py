@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 
 from .factorization import bucket
 from .token_files import scratch
-from .words import word_runs
+from .words import lean, windows, word_runs
 
 HIDDEN = 20
 SPAN = 32
@@ -33,11 +34,18 @@ KNOWN = 200_000
 STEPS = 24
 LANES = 256
 RATE = 0.01
+SLICE_BYTES = 4 << 20  # of text that a task lays out at a time, however many rows its batches have
+SLOT_BITS = 19
 WARM_DOCUMENTS = 512
 WARM_TOKENS = 300_000
 END = -7046029254386353131  # stands for the end of a document among the word hashes
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    """The leading bits, in the order of the signed hashes."""
+    return ((hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
     """Known words, sorted by hash, with ids by rank; fixed size."""
@@ -73,11 +81,21 @@ class Vocabulary:
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Ids, -1 for words outside."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, self.ids[at], -1)
+        out = np.full(len(hashes), -1)
+        slot = _slot(hashes)
+        at, end, asked = self.slots[slot], self.slots[slot + 1], np.arange(len(hashes))
+        while len(asked):
+            some = np.flatnonzero(at < end)
+            at, end, asked = at[some], end[some], asked[some]
+            hit = self.hashes[at] == hashes[asked]
+            out[asked[hit]] = self.ids[at[hit]]
+            at, end, asked = at[~hit] + 1, end[~hit], asked[~hit]
+        return out
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Where the words of each range of hashes begin."""
+        return np.searchsorted(_slot(self.hashes), np.arange((1 << SLOT_BITS) + 1)).astype(np.int32)
 
     def inputs(self, ids: np.ndarray) -> np.ndarray:
         """Rows of the input table: head words by themselves, others by class; the last row begins a document."""
@@ -94,8 +112,17 @@ class Vocabulary:
         return self.head + self.classes - self.head // SPAN
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural log probability of one row per column; ``logits`` becomes the gradient of its negative."""
+    logits -= logits.max(axis=0)
+    columns = np.arange(len(chosen))
+    out = logits[chosen, columns]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=0)
+    out -= np.log(total)
+    logits /= total
+    logits[chosen, columns] -= 1
+    return out
 
 
 class Model:
@@ -132,85 +159,94 @@ class Model:
             at += n
         return self
 
-    def run(self, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray, store: bool) -> tuple[np.ndarray, list]:
-        """States of a window [steps, lanes]; ``keep`` is 0 where a document begins."""
-        n, u = self.hidden, self.p["U"]
-        x = self.p["X"][inputs]
-        states, trace = np.empty((*inputs.shape, n), dtype=np.float32), []
+    def run(self, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """States of a window [steps, lanes], with what the way back needs; ``keep`` is 0 where a document begins."""
+        n, x, u = self.hidden, self.p["X"][inputs], self.p["U"].copy()
+        x[..., : 2 * n] *= 0.5  # of the gates: sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
+        u[:, : 2 * n] *= 0.5
+        before, inner, new, states = np.empty((4, *inputs.shape, n), dtype=np.result_type(x, h))
+        gates = np.empty((*inputs.shape, 2 * n), dtype=states.dtype)
         for t in range(len(inputs)):
-            before = h * keep[t][:, None]
-            g = before @ u
-            gates = _sigmoid(x[t, :, : 2 * n] + g[:, : 2 * n])
-            r, z = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[t, :, 2 * n :] + r * g[:, 2 * n :])
-            h = new + z * (before - new)
-            states[t] = h
-            if store:
-                trace.append((before, g[:, 2 * n :], r, z, new))
-        return states, trace
+            b, gate, w = before[t], gates[t], new[t]
+            np.multiply(h, keep[t][:, None], out=b)
+            g = b @ u
+            inner[t] = g[:, 2 * n :]
+            np.add(x[t, :, : 2 * n], g[:, : 2 * n], out=gate)
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+            np.multiply(gate[:, :n], g[:, 2 * n :], out=w)
+            w += x[t, :, 2 * n :]
+            np.tanh(w, out=w)
+            h = states[t]
+            np.subtract(b, w, out=h)
+            h *= gate[:, n:]
+            h += w
+        return states, (before, inner, gates, new)
 
     def outputs(self, states: np.ndarray, kinds: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of class and head word, and the gradient of their negative sum by the states."""
-        logits = states @ self.p["C"] + self.p["c"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        rows = np.arange(len(kinds))
-        out = logits[rows, kinds] - np.log(total)
-        back = None
+        e = self.p["C"].T @ states.T  # [classes, tokens]: sums over classes run along memory
+        e += self.p["c"][:, None]
+        out, back = _log_softmax(e, kinds), None
         if grad is not None:
-            e /= total[:, None]
-            e[rows, kinds] -= 1
-            grad["C"], grad["c"] = states.T @ e, e.sum(axis=0)
-            back = e @ self.p["C"].T
+            grad["C"], grad["c"] = (e @ states).T, e.sum(axis=1)
+            back = (self.p["C"] @ e).T
             grad["W"], grad["w"] = np.zeros_like(self.p["W"]), np.zeros_like(self.p["w"])
         inside = np.flatnonzero(kinds < self.v.head // SPAN)
-        order = inside[np.argsort(kinds[inside], kind="stable")]
-        used, first = np.unique(kinds[order], return_index=True)
-        for k, lo, hi in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-            at = order[lo:hi]
-            s = states[at]
-            l = s @ self.p["W"][k] + self.p["w"][k]
-            l -= l.max(axis=1, keepdims=True)
-            e = np.exp(l)
-            total = e.sum(axis=1)
-            place = ids[at] - k * SPAN
-            rows = np.arange(len(at))
-            out[at] += l[rows, place] - np.log(total)
-            if grad is not None:
-                e /= total[:, None]
-                e[rows, place] -= 1
-                grad["W"][k], grad["w"][k] = s.T @ e, e.sum(axis=0)
-                back[at] += e @ self.p["W"][k].T
+        order = inside[np.argsort(kinds[inside].astype(np.min_scalar_type(self.v.classes)), kind="stable")]
+        if not len(order):
+            return out, back
+        of, s = kinds[order], states[order]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        runs = list(zip(of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(of)]))
+        e = np.empty((SPAN, len(of)), dtype=states.dtype)
+        for k, lo, hi in runs:
+            np.matmul(self.p["W"][k].T, s[lo:hi].T, out=e[:, lo:hi])
+        e += self.p["w"][of].T
+        out[order] += _log_softmax(e, ids[order] - of * SPAN)
+        if grad is not None:
+            more = np.empty_like(s)
+            for k, lo, hi in runs:
+                part = e[:, lo:hi]
+                np.matmul(s[lo:hi].T, part.T, out=grad["W"][k])
+                np.matmul(part.T, self.p["W"][k].T, out=more[lo:hi])
+            grad["w"][of[first]] = np.add.reduceat(e, first, axis=1).T
+            back[order] += more
         return out, back
 
     def gradients(self, inputs, keep, h, mask, kinds, ids) -> tuple[dict, np.ndarray, float]:
         """Of the negative log probability of one window (truncated there), with the last state and the sum."""
         n, u = self.hidden, self.p["U"]
-        states, trace = self.run(inputs, keep, h, True)
+        states, (before, inner, gates, new) = self.run(inputs, keep, h)
         grad: dict = {}
         live = np.flatnonzero(mask.ravel())
         out, back = self.outputs(states.reshape(-1, n)[live], kinds.ravel()[live], ids.ravel()[live], grad)
-        d_states = np.zeros((inputs.size, n), dtype=np.float32)
+        d_states = np.zeros((inputs.size, n), dtype=states.dtype)
         d_states[live] = back
         d_states = d_states.reshape(states.shape)
-        d_x = np.empty((*inputs.shape, 3 * n), dtype=np.float32)
-        grad["U"] = np.zeros_like(u)
-        d_h = np.zeros_like(h)
+        r, z = gates[..., :n], gates[..., n:]
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), inner * r * (1 - r)
+        d_new, d_g = np.empty_like(states), np.empty((*inputs.shape, 3 * n), dtype=states.dtype)
+        d_h = np.zeros_like(states[0])
         for t in range(len(inputs) - 1, -1, -1):
-            before, inner, r, z, new = trace[t]
-            d = d_states[t] + d_h
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * inner * r * (1 - r)
-            d_x[t] = np.concatenate([d_r, d_z, d_new], axis=1)
-            d_g = np.concatenate([d_r, d_z, d_new * r], axis=1)
-            grad["U"] += before.T @ d_g
-            d_h = (d * z + d_g @ u.T) * keep[t][:, None]
-        rows, where = np.unique(inputs.ravel(), return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        first = np.searchsorted(where[order], np.arange(len(rows)))
-        grad["X"] = (rows, np.add.reduceat(d_x.reshape(-1, 3 * n)[order], first))
+            d, g, w = d_states[t], d_g[t], d_new[t]
+            d += d_h
+            np.multiply(d, by_new[t], out=w)
+            np.multiply(w, by_r[t], out=g[:, :n])
+            np.multiply(d, by_z[t], out=g[:, n : 2 * n])
+            np.multiply(w, r[t], out=g[:, 2 * n :])
+            d_h = g @ u.T
+            d *= z[t]
+            d_h += d
+            d_h *= keep[t][:, None]
+        grad["U"] = before.reshape(-1, n).T @ d_g.reshape(-1, 3 * n)
+        d_g[..., 2 * n :] = d_new  # now by the inputs
+        flat = inputs.ravel()
+        order = np.argsort(flat.astype(np.min_scalar_type(self.v.begin)), kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        grad["X"] = (flat[first], np.add.reduceat(d_g.reshape(-1, 3 * n)[order], first))
         return grad, states[-1], float(out.sum())
 
     def step(self, grad: dict, tokens: int, rate: float) -> None:
@@ -294,7 +330,7 @@ def log_probabilities(model: Model, lanes: Lanes) -> np.ndarray:
     h = np.zeros((len(lanes.size), model.hidden), dtype=np.float32)
     for place, mask in lanes.windows():
         n = place.shape[1]
-        states, _ = model.run(lanes.previous[place], lanes.keep[place], h[:n], False)
+        states, _ = model.run(lanes.previous[place], lanes.keep[place], h[:n])
         h = states[-1]
         at = place[mask]
         out[at] = model.outputs(states[mask], lanes.kinds[at], lanes.ids[at])[0]
@@ -310,10 +346,21 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Rows of a batch by ``SLICE_BYTES`` of text, and their texts; a longer text is a slice of its own."""
+    for lo, hi in windows(batch.column("text"), SLICE_BYTES):
+        yield batch.slice(lo, hi - lo), batch.column("text").slice(lo, hi - lo)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, times = np.unique(_tokens(batch.column("text"))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(times)], ["h", "c"])
+        parts = [np.unique(_tokens(column)[0], return_counts=True) for _, column in _slices(batch)]
+        hashes, times = (np.concatenate([p[j] for p in parts] or [np.zeros(0, np.int64)]) for j in (0, 1))
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+        sums = np.add.reduceat(times[order], first) if len(first) else times
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[first]), pa.array(sums)], ["h", "c"])
 
 
 _PARAMETERS = "weight double, total binary"
@@ -343,13 +390,14 @@ def _trained(vocabulary: Vocabulary, start: bytes | None, most: int | None):
         for batch in batches:
             if most and done >= most:
                 continue
-            hashes, bounds = _tokens(batch.column("text"))
-            lanes = Lanes(vocabulary, vocabulary.look_up(hashes), bounds, 32 if most else LANES)
-            done += learn(model, lanes, RATE * (3 if most else 1), most)
+            for _, column in _slices(batch):
+                hashes, bounds = _tokens(column)
+                lanes = Lanes(vocabulary, vocabulary.look_up(hashes), bounds, 32 if most else LANES)
+                done += learn(model, lanes, RATE * (3 if most else 1), most)
         if done:
             yield from _blob(float(done), np.frombuffer(model.pack(), "<f4").astype(np.float64) * done)
 
-    return run
+    return lean(run)
 
 
 def _parameters(trained: DataFrame) -> bytes | None:
@@ -377,7 +425,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     )
     training = rows.filter("NOT held_out")
     path = scratch(spark, "counts")
-    training.select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).write.parquet(path)
+    training.select("text").mapInArrow(lean(_counted), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).write.parquet(path)
     counts = spark.read.parquet(path)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("c"), "h").limit(known).toArrow()
@@ -412,8 +460,8 @@ def _scored(v: Vocabulary, parameters: bytes | None):
         model = Model(v)
         if parameters is not None:
             model.load(parameters)
-        for batch in batches:
-            hashes, bounds = _tokens(batch.column("text"))
+        for batch, column in (part for whole in batches for part in _slices(whole)):
+            hashes, bounds = _tokens(column)
             ids = v.look_up(hashes)
             known = ids >= 0
             doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -429,4 +477,4 @@ def _scored(v: Vocabulary, parameters: bytes | None):
                 pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(hashes[~known])),
             ], ["d", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
 
-    return run
+    return lean(run)

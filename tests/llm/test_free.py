@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -308,6 +310,23 @@ def test_recurrent_lm(spark, sf):
     assert recurrent_lm.scores(frame(spark, [])).count() == 0
 
 
+def test_recurrent_memory_of_a_batch():
+    """A task lays out a bounded piece of a batch, however large the batch is."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 3000, 600)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"d": list(range(4000)), "doc_id": list(range(4000)), "held_out": [False] * 4000, "text": texts})
+    counted = pa.Table.from_batches(recurrent_lm._counted(iter([batch])))
+    hashes, counts = counted.column("h").to_numpy(), counted.column("c").to_numpy()
+    assert len(set(hashes.tolist())) == len(hashes) == 3001 and counts.sum() == 4000 * 601
+    v = recurrent_lm.Vocabulary.build(hashes, counts, int(counts.sum()), len(hashes))
+    assert (v.look_up(hashes) >= 0).all() and (v.look_up(hashes ^ 1) == -1).all()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in recurrent_lm._scored(v, None)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and peak < 150e6
+
+
 def test_factorization_identity():
     r = np.random.default_rng(2)
     m = factorization.Model(0.3, r.normal(size=factorization.BIAS), r.normal(size=(factorization.BIAS, factorization.FACTORS)))
