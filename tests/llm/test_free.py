@@ -181,6 +181,21 @@ def test_passages(spark, sf):
     assert passages.repeats(frame(spark, [])).count() == 0
 
 
+def test_passages_hash_a_document_once(monkeypatch):
+    """Chains of one document side by side share its word hashes, with the cuts each would have alone."""
+    seen, real = [], passages.Words
+    monkeypatch.setattr(passages, "Words", lambda raw, bounds: seen.append(len(raw)) or real(raw, bounds))
+    texts = [" ".join(f"{name}{i}" for i in range(900)) for name in "ab"]
+    at = [[k, k + 20] for k in range(0, 800, 20)]
+    rows = {"d": [1] * 40 + [2] * 40, "p": [9] * 80, "mine": at * 2, "other": at * 2, "text": [texts[0]] * 40 + [texts[1]] * 40}
+    kinds = pa.schema([("d", pa.int64()), ("p", pa.int64()), ("mine", pa.list_(pa.int32())), ("other", pa.list_(pa.int32())), ("text", pa.string())])
+    batch = pa.RecordBatch.from_pydict(rows, schema=kinds)
+    got = pa.Table.from_batches(passages._sliced(iter([batch])))
+    assert sum(seen) == sum(map(len, texts))
+    alone = [pa.Table.from_batches(passages._sliced(iter([batch.slice(i, 1)]))) for i in range(80)]
+    assert got.to_pylist() == pa.concat_tables(alone).to_pylist()
+
+
 def test_passages_around_another_middle(spark):
     """Two exact passages in one order with different words between them are found both."""
     r = random.Random(8)
