@@ -36,6 +36,7 @@ LANES = 256
 RATE = 0.01
 SLICE_BYTES = 4 << 20  # of text that a task lays out at a time, however many rows its batches have
 SLOT_BITS = 19
+SUMMED = 16
 WARM_DOCUMENTS = 512
 WARM_TOKENS = 300_000
 END = -7046029254386353131  # stands for the end of a document among the word hashes
@@ -161,29 +162,36 @@ class Model:
 
     def run(self, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         """States of a window [steps, lanes], with what the way back needs; ``keep`` is 0 where a document begins."""
-        n, x, u = self.hidden, self.p["X"][inputs], self.p["U"].copy()
-        x[..., : 2 * n] *= 0.5  # of the gates: sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
-        u[:, : 2 * n] *= 0.5
+        n, u = self.hidden, self.parts()
+        x = self.p["X"][inputs].reshape(*inputs.shape, 3, n).transpose(0, 2, 1, 3).copy()  # [steps, gate, lanes, hidden]
+        x[:, :2] *= -1  # sigmoid(a) = 1 / (1 + exp(-a))
+        u[:2] *= -1
         before, inner, new, states = np.empty((4, *inputs.shape, n), dtype=np.result_type(x, h))
-        gates = np.empty((*inputs.shape, 2 * n), dtype=states.dtype)
-        for t in range(len(inputs)):
-            b, gate, w = before[t], gates[t], new[t]
-            np.multiply(h, keep[t][:, None], out=b)
-            g = b @ u
-            inner[t] = g[:, 2 * n :]
-            np.add(x[t, :, : 2 * n], g[:, : 2 * n], out=gate)
-            np.tanh(gate, out=gate)
-            gate *= 0.5
-            gate += 0.5
-            np.multiply(gate[:, :n], g[:, 2 * n :], out=w)
-            w += x[t, :, 2 * n :]
-            np.tanh(w, out=w)
-            h = states[t]
-            np.subtract(b, w, out=h)
-            h *= gate[:, n:]
-            h += w
+        gates = np.empty((len(inputs), 2, *states.shape[1:]), dtype=states.dtype)
+        with np.errstate(over="ignore"):  # 1 / inf is 0
+            for t in range(len(inputs)):
+                b, gate, w = before[t], gates[t], new[t]
+                b[:] = h
+                b[keep[t] == 0] = 0
+                g = b @ u
+                inner[t] = g[2]
+                np.add(x[t, :2], g[:2], out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.multiply(gate[0], g[2], out=w)
+                w += x[t, 2]
+                np.tanh(w, out=w)
+                h = states[t]
+                np.subtract(b, w, out=h)
+                h *= gate[1]
+                h += w
         return states, (before, inner, gates, new)
 
+    def parts(self) -> np.ndarray:
+        """U as one matrix for each of reset, update and new."""
+        return self.p["U"].reshape(self.hidden, 3, self.hidden).transpose(1, 0, 2).copy()
+
     def outputs(self, states: np.ndarray, kinds: np.ndarray, ids: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of class and head word, and the gradient of their negative sum by the states."""
         e = self.p["C"].T @ states.T  # [classes, tokens]: sums over classes run along memory
@@ -217,7 +225,7 @@ class Model:
 
     def gradients(self, inputs, keep, h, mask, kinds, ids) -> tuple[dict, np.ndarray, float]:
         """Of the negative log probability of one window (truncated there), with the last state and the sum."""
-        n, u = self.hidden, self.p["U"]
+        n, u = self.hidden, self.parts().transpose(0, 2, 1).copy()
         states, (before, inner, gates, new) = self.run(inputs, keep, h)
         grad: dict = {}
         live = np.flatnonzero(mask.ravel())
@@ -225,28 +233,33 @@ class Model:
         d_states = np.zeros((inputs.size, n), dtype=states.dtype)
         d_states[live] = back
         d_states = d_states.reshape(states.shape)
-        r, z = gates[..., :n], gates[..., n:]
+        r, z = gates[:, 0], gates[:, 1]
         by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), inner * r * (1 - r)
-        d_new, d_g = np.empty_like(states), np.empty((*inputs.shape, 3 * n), dtype=states.dtype)
+        d_new, d_g = np.empty_like(states), np.empty((len(inputs), 3, *states.shape[1:]), dtype=states.dtype)
         d_h = np.zeros_like(states[0])
         for t in range(len(inputs) - 1, -1, -1):
             d, g, w = d_states[t], d_g[t], d_new[t]
             d += d_h
             np.multiply(d, by_new[t], out=w)
-            np.multiply(w, by_r[t], out=g[:, :n])
-            np.multiply(d, by_z[t], out=g[:, n : 2 * n])
-            np.multiply(w, r[t], out=g[:, 2 * n :])
-            d_h = g @ u.T
+            np.multiply(w, by_r[t], out=g[0])
+            np.multiply(d, by_z[t], out=g[1])
+            np.multiply(w, r[t], out=g[2])
+            back = g @ u
+            d_h = back[0]
+            d_h += back[1]
+            d_h += back[2]
             d *= z[t]
             d_h += d
-            d_h *= keep[t][:, None]
-        grad["U"] = before.reshape(-1, n).T @ d_g.reshape(-1, 3 * n)
-        d_g[..., 2 * n :] = d_new  # now by the inputs
+            d_h[keep[t] == 0] = 0
+        flat = before.reshape(-1, n).T
+        grad["U"] = np.concatenate([flat @ d_g[:, k].reshape(-1, n) for k in range(3)], axis=1)
+        d_g[:, 2] = d_new  # now by the inputs
+        d_x = d_g.transpose(0, 2, 1, 3).reshape(-1, 3 * n)
         flat = inputs.ravel()
         order = np.argsort(flat.astype(np.min_scalar_type(self.v.begin)), kind="stable")
         flat = flat[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        grad["X"] = (flat[first], np.add.reduceat(d_g.reshape(-1, 3 * n)[order], first))
+        grad["X"] = (flat[first], np.add.reduceat(d_x[order], first))
         return grad, states[-1], float(out.sum())
 
     def step(self, grad: dict, tokens: int, rate: float) -> None:
@@ -401,9 +414,12 @@ def _trained(vocabulary: Vocabulary, start: bytes | None, most: int | None):
 
 
 def _parameters(trained: DataFrame) -> bytes | None:
-    """Mean of the tasks' parameters, summed in two levels."""
-    some = max(1, int(int(trained.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    row = trained.repartition(some).mapInArrow(_summed, _PARAMETERS).repartition(1).mapInArrow(_summed, _PARAMETERS).first()
+    """Mean of the tasks' parameters, summed in a tree: a task adds up about ``SUMMED`` of them however many there are."""
+    tasks = trained.rdd.getNumPartitions()
+    while tasks > SUMMED:
+        tasks = -(-tasks // SUMMED)
+        trained = trained.repartition(tasks).mapInArrow(_summed, _PARAMETERS)
+    row = trained.repartition(1).mapInArrow(_summed, _PARAMETERS).first()
     if row is None:
         return None
     return (np.frombuffer(row["total"], "<f8") / row["weight"]).astype("<f4").tobytes()
