@@ -76,3 +76,20 @@ def open_each(asked: DataFrame, schedules: DataFrame) -> DataFrame:
     held = wanted.join(ranges.withColumnRenamed("deal_id", "id"), "id").join(week_bitmaps(ranges), "week", "left")
     covered = inside & F.coalesce(has_bit(F.col("minutes"), minute_of_week(at).cast("long")), F.lit(False))
     return held.groupBy("id", "at").agg(F.bool_or(covered).alias("is_open_now"))
+
+
+def hours_at(hours: DataFrame, instants: DataFrame) -> DataFrame:
+    """(hours, day, flags): every different ``hours`` of ``deal_hours`` put to every instant (day, ats) of ``days_of``, once.
+
+    ``flags`` lie in the order of ``ats``, so that a deal's answer is one look into them.
+    """
+    spread = max(int(hours.sparkSession.conf.get("spark.sql.shuffle.partitions")), hours.sparkSession.sparkContext.defaultParallelism)
+    different = hours.select("hours").distinct().repartition(spread)
+    return different.crossJoin(F.broadcast(instants)).select(
+        "hours", "day", F.transform("ats", lambda at: open_in(F.col("hours"), at)).alias("flags")
+    )
+
+
+def days_of(instants: DataFrame) -> DataFrame:
+    """(day, ats): the different instants (``at``) of each day in order."""
+    return instants.groupBy(F.to_date("at").alias("day")).agg(F.array_sort(F.collect_set("at")).alias("ats"))
