@@ -139,6 +139,17 @@ class Store:
         self._commit(version, content)
         return content
 
+    def set_aside(self, name: str, version: int, rows: DataFrame) -> DataFrame:
+        """What a step works out and reads more than once, in compressed columns until ``clear``; a replay overwrites it."""
+        folder = f"{self.root}/_aside/version={version}/{name}"
+        rows.write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
+    def clear(self, version: int) -> None:
+        """Drops what a step has set aside."""
+        path, fs = self._path(f"{self.root}/_aside/version={version}")
+        fs.delete(path, True)
+
     def forget(self, before: int) -> None:
         """Drops versions before one, and the bucket folders that no later version refers to.  Logs stay whole."""
         kept = [v for v in self.versions() if v >= before]

@@ -29,7 +29,7 @@ def ingest_step(store: Store, batch: DataFrame, version: int, source_id: int, no
     keyed = batch.withColumn("source_id", F.lit(source_id).cast("long"))
     touched = store.buckets_of("deals", keyed)
     out = ingest.ingest_listings(store.read("deals", version - 1, touched), batch, source_id, now)
-    deals = cut_lineage(out["deals"])
+    deals = store.set_aside("deals", version, out["deals"])
     rest = set(map(int, stored["at"])) - touched
     untouched = store.read("deals", version - 1, rest)
     losers, _ = ingest.url_losers(deals.select(SEEN).unionByName(untouched.select(SEEN)), out["inserted"])
@@ -38,12 +38,14 @@ def ingest_step(store: Store, batch: DataFrame, version: int, source_id: int, no
     changed = deals.unionByName(store.read("deals", version - 1, more))
     following = ingest.deactivate_losers(changed, ingest.few_broadcast(losers))
     raw = ingest.with_payload(keyed).select("source_id", "source_deal_id", "seq", "raw_payload", "content_hash", F.lit(now).cast("timestamp").alias("fetched_at"))
-    return store.write(
+    commit = store.write(
         version,
         {"deals": (sweep(following, now) if swept else following, touched | more)},
         {"actions": out["actions"], "normalization_log": out["log"], "deals_raw": raw},
         {"actions": {a: F.count_if(F.col("action") == a) for a in ACTIONS}},
     )
+    store.clear(version)
+    return commit
 
 
 def stream_ingest(
